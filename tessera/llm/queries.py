@@ -5,8 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm import piece_codec
+from tessera.llm.fingerprint import compared_with_next
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.packing import packed_documents
+
+
+def _tokenizer(name: str) -> str:
+    """A vocabulary file of the installed public tokenizers; imported here because only some queries need it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +28,23 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compared_with_next(_table(spark, sf_dir, "documents"))
+
+
+def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again: the ids' number and CRC-32, and the SHA-256 of the text that they decode to."""
+    model, docs = _tokenizer("piece_bpe_32k.model"), _table(spark, sf_dir, "documents")
+    back = piece_codec.decode(piece_codec.encode(docs, model), model)
+    return back.select("doc_id", "n_ids", "ids_crc32", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup,)}
+    return {f.__name__: f for f in (op1_near_dedup, op5_fingerprints, op8_piece_codec, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
