@@ -11,6 +11,7 @@ from tessera.llm import piece_codec
 from tessera.llm.fingerprint import compared_with_next
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import packed_documents
+from tessera.llm.quality_rules import quality_rules
 
 
 def _tokenizer(name: str) -> str:
@@ -43,8 +44,14 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trusted target is what the labels call good."""
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_rules(_table(spark, sf_dir, "documents"), trusted)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op5_fingerprints, op8_piece_codec, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_near_dedup, op5_fingerprints, op8_piece_codec, op9_best_fit_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
