@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm import piece_codec
 from tessera.llm.fingerprint import compared_with_next
+from tessera.llm.html_text import extract
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import packed_documents
+from tessera.llm.quality_crf import quality
 from tessera.llm.quality_rules import quality_rules
+from tessera.llm.toxicity import toxicity
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     """A vocabulary file of the installed public tokenizers; imported here because only some queries need it."""
     import public_tokenizers
 
@@ -29,19 +32,33 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("line_scores").cast("long").alias("n_lines"))
+
+
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again: the ids' number and CRC-32, and the SHA-256 of the text that they decode to."""
-    model, docs = _tokenizer("piece_bpe_32k.model"), _table(spark, sf_dir, "documents")
+    model, docs = tokenizer_path("piece_bpe_32k.model"), _table(spark, sf_dir, "documents")
     back = piece_codec.decode(piece_codec.encode(docs, model), model)
     return back.select("doc_id", "n_ids", "ids_crc32", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return packed_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +67,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), trusted)
 
 
+_REGISTERED = (
+    op1_near_dedup,
+    op4_toxicity,
+    op5_fingerprints,
+    op6_html_text,
+    op7_quality_classifier,
+    op8_piece_codec,
+    op9_best_fit_packing,
+    op10_quality_rules,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op5_fingerprints, op8_piece_codec, op9_best_fit_packing, op10_quality_rules)}
+    return {f.__name__: f for f in _REGISTERED}
 
 
 def oracle_sql() -> dict[str, str]:
