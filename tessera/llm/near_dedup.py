@@ -10,9 +10,10 @@ Buckets are never expanded into all their pairs:
 
 1. in every bucket, each member meets only the bucket's hub (the member whose keys are the most shared, which in a group
    of edited copies is the original); confirmed links are merged to components;
-2. only members of different components still have to meet. Small buckets pair them. A larger bucket is split by the
-   keys of the chunks that it hasn't used yet (the same guarantee, for the errors that are left), and step 2 repeats.
-   What still shares a bucket when only one chunk is left agrees in nearly the whole signature and is paired directly.
+2. only members of different components still have to meet. Small buckets pair them. The members of larger mixed buckets
+   are joined by their rarest shingles instead (an exact prefix filter): two sets with that much in common share one of
+   the rarest (1 - threshold) of either's shingles, counted among these members, so what makes such a bucket large - a
+   passage that all of them have - is the last thing looked at.
 """
 
 from __future__ import annotations
@@ -71,41 +72,36 @@ def sketch(docs: DataFrame, k: int = 5, symbols: int = 72) -> DataFrame:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch], chunks: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``key, rep, n, used, bits_one, bits_two``; ``base`` and ``used`` say which bucket the row comes from."""
+    """Rows ``key, rep, n, bits_one, bits_two`` from rows ``rep, n, signature``; the bits are the symbols' lowest ones."""
     salts = _coefficients(chunks * width)
     for batch in batches:
         rep = np.asarray(batch.column(0))
         for i in range(0, len(rep), 2048):
             part = batch.slice(i, 2048)
             sig = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(len(part), chunks, width).astype(_U)
-            base, used = np.asarray(part.column(3)).astype(np.int64).view(_U), np.asarray(part.column(4))
-            keys, chunk_of = [], []
+            keys = []
             for c in range(chunks):
                 for wrong in range(width):
-                    h = base + salts[c * width + wrong]
+                    h = np.full(len(part), salts[c * width + wrong])
                     for s in range(width):
                         if s != wrong:
                             h = text.mix(h * _U(0xD6E8FEB86659FD93) + sig[:, c, s])
                     keys.append(h.view(np.int64))
-                    chunk_of.append(c)
-            key, c = np.stack(keys, 1), np.array(chunk_of)
-            fresh = (used[:, None] >> c[None, :]) & 1 == 0
-            row = np.repeat(np.arange(len(part)), fresh.sum(1))
+            row = np.repeat(np.arange(len(part)), len(keys))
             bit = (sig.reshape(len(part), -1) & _U(1)).astype(np.uint8)
             halves = [np.packbits(np.pad(x, ((0, 0), (0, 64 - x.shape[1]))), axis=1).view(np.int64)[:, 0] for x in (bit[:, :64], bit[:, 64:128])]
-            n = np.asarray(part.column(1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[fresh]), pa.array(np.asarray(part.column(0))[row]), pa.array(n[row]), pa.array((used[:, None] | (1 << c)[None, :])[fresh].astype(np.int32)), pa.array(halves[0][row]), pa.array(halves[1][row])],
-                ["key", "rep", "n", "used", "bits_one", "bits_two"],
+                [pa.array(np.stack(keys, 1).ravel()), pa.array(rep[i : i + 2048][row]), pa.array(np.asarray(part.column(1))[row]), pa.array(halves[0][row]), pa.array(halves[1][row])],
+                ["key", "rep", "n", "bits_one", "bits_two"],
             )
 
 
-_KEY_ROW = "key long, rep long, n long, used int, bits_one long, bits_two long"
+_KEY_ROW = "key long, rep long, n long, bits_one long, bits_two long"
 
 
-def index(rows: DataFrame, chunks: int, width: int) -> DataFrame:
-    """The buckets with at least two members: every row of ``rows(rep, n, signature, base, used)`` under every key of its unused chunks."""
-    keyed = rows.select("rep", "n", "signature", "base", "used").mapInArrow(lambda b: _keyed(b, chunks, width), _KEY_ROW)
+def index(reps: DataFrame, chunks: int, width: int) -> DataFrame:
+    """The buckets with at least two members: every row of ``reps(doc_id, n_shingles, signature)`` under all its keys."""
+    keyed = reps.select("doc_id", "n_shingles", "signature").mapInArrow(lambda b: _keyed(b, chunks, width), _KEY_ROW)
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     return materialize(keyed.join(shared, "key"), "buckets")
 
@@ -131,6 +127,13 @@ def _confirmed(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Itera
 BROADCAST_IDS = 20_000
 
 
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` of the documents in ``ids(doc_id)``."""
+    ids = materialize(ids, "ids")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def confirm(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, percent: int, r: int, symbols: int) -> DataFrame:
     """The ``pairs(a, b)`` within r symbols whose full shingle sets have 100 * intersection >= percent * union."""
 
@@ -142,15 +145,56 @@ def confirm(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, perc
     side = lambda name: sketches.select(F.col("doc_id").alias(name), F.col("signature").alias(f"signature_{name}"))
     close = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "signature_a", "signature_b")
     close = materialize(close.mapInArrow(hamming, "a long, b long"), "close")
-    ids = materialize(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    texts = materialize(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "texts")
+    texts = materialize(texts_of(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs), "texts")
     side = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"text_{name}"))
     both = close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
     return materialize(both.mapInArrow(lambda b: _confirmed(b, k, percent), "a long, b long").distinct(), "confirmed")
 
 
+#: Shingles whose frequency is told to every task, at most; rarer ones count as equally rare.
+FREQUENT_SHINGLES = 50_000
+
+
+def _counted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = list(text.shingle_sets(*text.column(batch.column(1)), k))
+        shingle, n = np.unique(np.concatenate([np.zeros(0, _U), *sets]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(n)], ["shingle", "n"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, frequent: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column(0).to_pylist()
+        rep, shingle, size, place = [], [], [], []
+        for d, own in zip(ids, text.shingle_sets(*text.column(batch.column(1)), k), strict=True):
+            at = np.minimum(np.searchsorted(frequent, own), max(len(frequent) - 1, 0))
+            order = np.where(frequent[at] == own, rank[at], -1) if len(frequent) else np.full(len(own), -1)
+            first = own[np.lexsort((own, order))][: len(own) - -(-len(own) * percent // 100) + 1]
+            rep.append(np.full(len(first), d))
+            shingle.append(first.view(np.int64))
+            size.append(np.full(len(first), len(own)))
+            place.append(np.arange(1, len(first) + 1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (rep, shingle, size, place)], ["rep", "shingle", "size", "place"])
+
+
+def rarest(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``members(rep, n, ...)``, each with the rarest of its shingles: as many as a set with the threshold's overlap can't miss.
+
+    ``place`` orders a set's shingles by the number of members that have them, then by hash: one order for all sets, as
+    a prefix filter needs. Numbers are told for shingles that at least 1 / ``FREQUENT_SHINGLES`` of all members' shingles
+    are, of which there can't be more than that.
+    """
+    texts = materialize(texts_of(members.select(F.col("rep").alias("doc_id")).distinct(), docs), "texts")
+    total = members.agg(F.sum("n")).first()[0] or 0
+    counted = texts.mapInArrow(lambda b: _counted(b, k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    common = counted.where(F.col("n") >= max(2, -(-total // FREQUENT_SHINGLES))).toPandas().sort_values(["n", "shingle"])
+    rank = np.arange(len(common))
+    by_hash = np.argsort(common["shingle"].to_numpy(np.int64).view(_U))
+    frequent, rank = common["shingle"].to_numpy(np.int64).view(_U)[by_hash], rank[by_hash]
+    prefix = texts.mapInArrow(lambda b: _prefixes(b, k, percent, frequent, rank), "rep long, shingle long, size long, place long")
+    return materialize(prefix.join(members, "rep"), "rarest")
+
+
 def hub_pairs(buckets: DataFrame) -> DataFrame:
     """Every bucket member with its bucket's hub: the member whose buckets hold the most rows, then the smallest id."""
     weight = buckets.groupBy("rep").agg(F.sum("members").alias("weight"))
@@ -182,29 +226,25 @@ def near_duplicates(
     reps = full.join(groups.select(F.col("rep").alias("doc_id"), "n_shingles", "set_one", "set_two"), ["doc_id", "n_shingles", "set_one", "set_two"], "left_semi")
     reps = materialize(reps.select("doc_id", "n_shingles", "signature").distinct(), "reps")
 
-    rows = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "signature", F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("used"))
-    buckets = index(rows, chunks, width)
-    check = lambda pairs: confirm(pairs, reps, docs, k, percent, r, symbols)
-    links = check(hub_pairs(buckets))
+    buckets = index(reps, chunks, width)
+    links = confirm(hub_pairs(buckets), reps, docs, k, percent, r, symbols)
     found = components(links)
-    while True:
-        component = F.coalesce("component", "rep")
-        mixed = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", component)
-        split = mixed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        mixed = materialize(mixed.join(split, "key"), "mixed")
-        small = mixed.where((F.col("members") <= pair_up_to) | (F.bit_count("used") >= chunks - 1))
-        x, y = small.alias("x"), small.alias("y")
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _near(r, percent, "x", "y"))
-        more = check(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
-        links = links.unionByName(more)
-        if not more.isEmpty():
-            found = components(links)
-        large = mixed.where((F.col("members") > pair_up_to) & (F.bit_count("used") < chunks - 1))
-        large = materialize(large.select("key", "rep", "n", "used"), "large")
-        if large.isEmpty():
-            break
-        rows = large.join(reps.select(F.col("doc_id").alias("rep"), "signature"), "rep").select("rep", "n", "signature", F.col("key").alias("base"), F.col("used").cast("long"))
-        buckets = index(rows, chunks, width)
+
+    mixed = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    split = mixed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    mixed = materialize(mixed.join(split, "key"), "mixed")
+    small, large = mixed.where(F.col("members") <= pair_up_to), mixed.where(F.col("members") > pair_up_to)
+    apart = F.col("x.component") != F.col("y.component")
+    met = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & apart & _near(r, percent, "x", "y"))
+    rare = rarest(materialize(large.select("rep", "n", "bits_one", "bits_two", "component").distinct(), "large"), docs, k, percent)
+    # A shared shingle counts only if what follows it can still make up the overlap that the threshold asks for.
+    rest = 1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    enough = rest * (100 + percent) >= (F.col("x.size") + F.col("y.size")) * percent
+    also = rare.alias("x").join(rare.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & apart & enough & _near(r, percent, "x", "y"))
+    pairs = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).unionByName(also.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
+    more = confirm(pairs.distinct(), reps, docs, k, percent, r, symbols)
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
 
     whole = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles").join(whole.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "doc_id", "left")
