@@ -17,6 +17,11 @@ def _long(x: Column | int) -> Column:
     return (x if isinstance(x, Column) else F.lit(x)).cast("long")
 
 
+def _shift(direction: str, x: Column, n: Column | int) -> Column:
+    """Shifts by a column of places as well as by a number."""
+    return F.call_function(direction, x, (n if isinstance(n, Column) else F.lit(n)).cast("int"))
+
+
 def wrap32(x: Column) -> Column:
     """A BIGINT's low 32 bits as a signed INT."""
     low = x.bitwiseAND(F.lit(0xFFFFFFFF))
@@ -73,7 +78,7 @@ def unsigned(x: Column) -> Column:
 
 def next_pow2(x: Column) -> Column:
     """The least power of two that is at least x, for 1 <= x <= 2**62."""
-    return F.when(x <= 1, F.lit(1).cast("long")).otherwise(F.expr("1L").cast("long") * F.shiftleft(F.lit(1).cast("long"), F.length(F.bin(x - 1))))
+    return F.when(x <= 1, F.lit(1).cast("long")).otherwise(_shift("shiftleft", F.lit(1).cast("long"), F.length(F.bin(x - 1))))
 
 
 def floor_log2(x: Column) -> Column:
@@ -92,7 +97,7 @@ def round_down(x: Column, to: int) -> Column:
 
 def fill_low_bits(n: Column) -> Column:
     """n ones, for 0 <= n <= 64."""
-    return F.when(n >= 64, F.lit(-1).cast("long")).when(n == 63, F.lit((1 << 63) - 1)).otherwise(F.shiftleft(F.lit(1).cast("long"), n.cast("int")) - 1)
+    return F.when(n >= 64, F.lit(-1).cast("long")).when(n == 63, F.lit((1 << 63) - 1)).otherwise(_shift("shiftleft", F.lit(1).cast("long"), n) - 1)
 
 
 #: Bits that each parity scheme keeps at the low end.
@@ -138,7 +143,7 @@ def packed_size(x: Column) -> Column:
 def pack(x: Column) -> Column:
     """A non-negative number as hex bytes: seven bits each, the highest first, the last one marked by 0x80."""
     groups = F.sequence(packed_size(x) - 1, F.lit(0))
-    byte = lambda i: F.shiftrightunsigned(x, i * 7).bitwiseAND(F.lit(0x7F)) + F.when(i == 0, 128).otherwise(0)
+    byte = lambda i: _shift("shiftrightunsigned", x, i * 7).bitwiseAND(F.lit(0x7F)) + F.when(i == 0, 128).otherwise(0)
     return F.array_join(F.transform(groups, lambda i: F.lpad(F.hex(byte(i)), 2, "0")), "")
 
 
