@@ -76,7 +76,8 @@ def base_columns(text: Column) -> dict[str, Column]:
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, *, buckets: int, smoothing: float) -> DataFrame:
     """One row with an array ``ratios``: log(p_target / p_raw) of every bucket, from counts over all of ``docs``."""
-    texts = docs.join(trusted.select("doc_id").distinct().withColumn("_target", F.lit(1)), "doc_id", "left")
+    # Sorted by id at every size: the trusted ids grow with the corpus and are never broadcast.
+    texts = docs.join(trusted.select("doc_id").distinct().withColumn("_target", F.lit(1)).hint("merge"), "doc_id", "left")
     grams = texts.select(F.explode(n_grams(words(F.coalesce("text", F.lit(""))), buckets)).alias("bucket"), F.coalesce("_target", F.lit(0)).alias("target"))
     counted = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
