@@ -46,4 +46,4 @@ def without_copies(rows: pd.DataFrame, k: int = 5, tries: int = 6) -> pd.DataFra
         keep.append(not any(x in s for x, s in zip(least, seen, strict=True)))
         for x, s in zip(least, seen, strict=True):
             s.add(x)
-    return rows[keep]
+    return rows[np.array(keep, bool)]

@@ -93,8 +93,9 @@ class Model:
         return self.chain.marginals(_around(own, begins) @ self.weights, begins)
 
     def score(self, columns: np.ndarray) -> np.ndarray:
+        """Rounded, so that equal texts have equal scores whatever batch they come in."""
         w, mean, scale = self.document
-        return 1 / (1 + np.exp(-np.clip(np.column_stack([(columns - mean) / scale, np.ones(len(columns))]) @ w, -30, 30)))
+        return np.round(1 / (1 + np.exp(-np.clip(((columns - mean) / scale * w[:-1]).sum(1) + w[-1], -30, 30))), 9)
 
 
 def _begins(first: np.ndarray, n: int) -> np.ndarray:
