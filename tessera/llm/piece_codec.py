@@ -123,12 +123,20 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     out = _model(path)[0].out
+    size = np.array([len(b) for b in out], np.int64)
+    start, blob = np.cumsum(size) - size, np.frombuffer(b"".join(out), np.uint8)
     for batch in batches:
-        ids = batch.column(1)
-        at, flat = np.asarray(ids.offsets), ids.values.to_pylist()
-        texts = [b"".join(map(out.__getitem__, flat[s:e]))[1:].decode() for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        crc = [zlib.crc32(np.asarray(flat[s:e], "<u4").tobytes()) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_ids", "ids_crc32", "text"])
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            at = np.asarray(part.column(1).offsets).astype(np.int64)
+            ids = np.asarray(part.column(1).values)[at[0] : at[-1]]
+            at = at - at[0]
+            before = np.concatenate([[0], np.cumsum(size[ids])])
+            surface = blob[np.repeat(start[ids] - before[:-1], size[ids]) + np.arange(before[-1])].tobytes()
+            raw, bounds = ids.astype("<u4").tobytes(), list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+            texts = [surface[before[s] + 1 : before[e]].decode() for s, e in bounds]  # without the space put before it
+            crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in bounds]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_ids", "ids_crc32", "text"])
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
