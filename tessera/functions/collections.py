@@ -134,6 +134,12 @@ def string_hash(s: Column) -> Column:
     return F.when(F.length(s) == 0, F.lit(0)).otherwise(folded)
 
 
+def uuid_hash(msb: Column, lsb: Column) -> Column:
+    """The two halves folded to 32 bits."""
+    both = msb.bitwiseXOR(lsb)
+    return wrap32(F.shiftright(both, 32)).bitwiseXOR(wrap32(both))
+
+
 def next_value(a: Column, top: int) -> Column:
     """The least array of the same length above this one, or NULL if there is none: the exclusive end of a prefix range.
 

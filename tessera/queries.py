@@ -13,6 +13,7 @@ from tessera.functions import order
 from tessera.operators import alloc, atomic
 from tessera.operators.fold import apply_ops, apply_ops_streamed
 from tessera.operators.state import PREALLOC, as_state
+from tessera.plans import keyed
 from tessera.plans.store import RecordStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -389,6 +390,66 @@ def group_is_unicode(spark: SparkSession, sf: str) -> DataFrame:
     return _read(spark, sf, "documents").select("doc_id", c.is_unicode(F.col("text")).alias("is_unicode"))
 
 
+_group_query(
+    "group_search_by",
+    lambda a: c.search_by(F.reverse(a), F.element_at(a, 1) + 500, lambda x: -x),
+    "CAST(CASE WHEN list_contains(a, a[1] + 500) THEN len(a) - list_position(a, a[1] + 500) ELSE -(len(list_filter(a, lambda x: x > a[1] + 500)) + 1) END AS INT)",
+)
+_group_query("group_size", lambda a: F.size(a), "CAST(len(a) AS INT)")
+_group_query("group_next_value", lambda a: _text(c.next_value(F.transform(a, lambda x: x.cast("int")), (1 << 31) - 1)), _TEXT.format("list_append(a[:len(a) - 1], a[len(a)] + 1)"))
+_STEP = "CASE WHEN ({0}) % 4294967296 >= 2147483648 THEN ({0}) % 4294967296 - 4294967296 ELSE ({0}) % 4294967296 END"
+_group_query(
+    "list_hash_code",
+    lambda a: c.list_hash(F.transform(a, lambda x: x.cast("int"))),
+    "CAST(list_reduce(list_prepend(1::BIGINT, a), lambda h, e: " + _STEP.format("(h * 31 + e + 1099511627776)") + ") AS INT)",
+)
+
+
+# --- keyed tables: each user's last event against each customer's key
+
+
+def _keyed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    have = _read(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    return have, _read(spark, sf, "events").groupBy(F.col("user_id").alias("k")).agg(F.max("value").alias("v"))
+
+
+_HAVE = "h AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 3 = 0), n AS (SELECT user_id AS k, max(value) AS v FROM events GROUP BY 1)"
+
+
+@register(f"WITH {_HAVE} SELECT k, coalesce(n.v, h.v) AS v FROM h FULL JOIN n USING (k)")
+def keyed_put(spark: SparkSession, sf: str) -> DataFrame:
+    return keyed.put(*_keyed(spark, sf))
+
+
+@register(f"WITH {_HAVE} SELECT k, coalesce(h.v, n.v) AS v FROM h FULL JOIN n USING (k)")
+def keyed_put_if_absent(spark: SparkSession, sf: str) -> DataFrame:
+    return keyed.put_if_absent(*_keyed(spark, sf))
+
+
+@register(f"WITH {_HAVE} SELECT k, coalesce(n.v, h.v) AS v FROM h LEFT JOIN n USING (k)")
+def keyed_replace(spark: SparkSession, sf: str) -> DataFrame:
+    return keyed.replace(*_keyed(spark, sf))
+
+
+@register(f"WITH {_HAVE} SELECT k, CASE WHEN k % 2 = 0 THEN coalesce(n.v, h.v) ELSE h.v END AS v FROM h LEFT JOIN n USING (k)")
+def keyed_replace_if(spark: SparkSession, sf: str) -> DataFrame:
+    have, new = _keyed(spark, sf)
+    asked = new.join(have.select("k", F.when(F.col("k") % 2 == 0, F.col("v")).otherwise(F.lit(-1.0)).alias("expected")), "k")
+    return keyed.replace_if(have, asked)
+
+
+@register(f"WITH {_HAVE} SELECT k, h.v FROM h ANTI JOIN n USING (k)")
+def keyed_remove(spark: SparkSession, sf: str) -> DataFrame:
+    return keyed.remove(*_keyed(spark, sf))
+
+
+@register(f"WITH {_HAVE} SELECT k, h.v FROM h WHERE k % 2 <> 0 OR k NOT IN (SELECT k FROM n)")
+def keyed_remove_if(spark: SparkSession, sf: str) -> DataFrame:
+    have, new = _keyed(spark, sf)
+    asked = have.where("k % 2 = 0").join(new.select("k"), "k", "left_semi").withColumnRenamed("v", "expected")
+    return keyed.remove_if(have, asked)
+
+
 # --- hashes, orders, bits
 
 _WRAP64 = "CAST(CASE WHEN (({0}) % 18446744073709551616::HUGEINT + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT >= 9223372036854775808::HUGEINT THEN (({0}) % 18446744073709551616::HUGEINT + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT - 18446744073709551616::HUGEINT ELSE (({0}) % 18446744073709551616::HUGEINT + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT END AS BIGINT)"

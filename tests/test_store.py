@@ -145,3 +145,26 @@ def test_orders(spark):
     floats = spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),), (-1.0,)], "x double")
     assert [str(r[0]) for r in floats.orderBy(order.float_key(F.col("x"))).collect()] == ["-1.0", "-0.0", "0.0", "nan"]
     assert codec("uuid").size == 16 and codec_for("bigint").name == "long" and codec_for("nothing") is None
+
+
+def test_hashes_outside_expressions(spark):
+    import struct
+
+    import xxhash
+
+    from tessera.functions.hash32 import double_bits, xxhash32
+
+    rows = spark.createDataFrame([(bytearray(b""), [0.0, -0.0]), (bytearray(b"abc"), [1.5, float("nan")]), (None, None)], "b binary, d array<double>")
+    got = rows.select(xxhash32(F.col("b"), 7).alias("h"), double_bits(F.col("d")).alias("x")).collect()
+    signed = lambda n: n - (1 << 32) if n >= 1 << 31 else n
+    assert [r["h"] for r in got] == [signed(xxhash.xxh32_intdigest(b"", 7)), signed(xxhash.xxh32_intdigest(b"abc", 7)), None]
+    assert got[0]["x"] == [0, -(1 << 63)] and got[1]["x"] == [struct.unpack("<q", struct.pack("<d", 1.5))[0], 0x7FF8000000000000] and got[2]["x"] is None
+
+
+def test_export_and_import(spark, tmp_path):
+    from tessera.cli import main
+
+    commit(RecordStore(spark.createDataFrame([(1, 2, 10)], STATE)), f"file://{tmp_path}/a")
+    main(["export", "-d", f"file://{tmp_path}/a", "-o", f"file://{tmp_path}/out"])
+    main(["import", "-d", f"file://{tmp_path}/b", "-i", f"file://{tmp_path}/out"])
+    assert [tuple(r) for r in reopen(spark, f"file://{tmp_path}/b").state.collect()] == [(1, 2, 10)]
