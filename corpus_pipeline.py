@@ -5,36 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import quality_crf, toxicity
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import packed_documents
-from tessera.llm.quality_crf import quality
 from tessera.llm.queries import tokenizer_path
 from tessera.llm.scratch import materialize
-from tessera.llm.toxicity import toxicity
-
-
-def _passing(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with an id in ``judged(doc_id, good)`` where every row of that id is good."""
-    bad = judged.where(~F.col("good")).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; it learns from the labelled rows of ``docs``."""
-    found = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _passing(docs, found.select("doc_id", (F.col("predicted") == 0).alias("good")))
+    return toxicity.not_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; it learns from the labelled rows of ``docs``."""
-    found = quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _passing(docs, found.select("doc_id", (F.col("predicted") == 1).alias("good")))
+    return quality_crf.good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id."""
-    found = near_duplicates(docs)
-    return _passing(docs, found.select("doc_id", F.col("kept").alias("good")))
+    dropped = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
+    # Sorted by id at every size: the dropped ids grow with the corpus and are never broadcast.
+    return docs.join(dropped.hint("merge"), F.col("doc_id") == F.col("_dropped"), "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
