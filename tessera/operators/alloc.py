@@ -6,10 +6,26 @@ join back afterwards. A batch's deletes name recids that were live before it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _balanced(log: DataFrame, adds: str) -> DataFrame:
+    """``log`` with ``free``, what is available after each row, and ``fresh``, rows that take where nothing was available."""
+    order = Window.orderBy("seq")
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    log = log.withColumn("balance", F.sum(F.when(F.col("op") == adds, 1).otherwise(-1)).over(running))
+    # Takes from nothing sink the balance to a new minimum and leave nothing behind.
+    log = log.withColumn("free", F.col("balance") - F.least(F.lit(0), F.min("balance").over(running)))
+    return log.withColumn("fresh", (F.col("op") != adds) & (F.coalesce(F.lag("free").over(order), F.lit(0)) == 0))
+
+
+def _last_added(log: DataFrame, adds: str, value: str) -> Column:
+    """For rows that take, the value of the last add that is still there: the one that filled the level which the row empties."""
+    level = F.when(F.col("op") == adds, F.col("free")).otherwise(F.col("free") + 1)
+    return F.lag(value).over(Window.partitionBy("fresh", level).orderBy("seq"))
+
+
 def allocate(log: DataFrame, max_recid: int, *, first_freed: bool = False) -> DataFrame:
     """``seq, op, recid`` of ``log(seq, op, recid)`` with the recids of its ops "put" filled in; "delete" rows have theirs.
 
@@ -17,34 +33,22 @@ def allocate(log: DataFrame, max_recid: int, *, first_freed: bool = False) -> Da
     ``max_recid``.
     """
     running = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    log = log.select("seq", "op", "recid", F.when(F.col("op") == "delete", 1).otherwise(-1).alias("d"))
-    log = log.withColumn("s", F.sum("d").over(running))
-    log = log.withColumn("free", F.col("s") - F.least(F.lit(0), F.min("s").over(running)))
-    # Fresh puts find nothing free: the balance sinks to a new minimum.
-    log = log.withColumn("fresh", (F.col("op") == "put") & (F.coalesce(F.lag("free").over(Window.orderBy("seq")), F.lit(0)) == 0))
-    log = log.withColumn("nth_fresh", F.sum(F.col("fresh").cast("int")).over(running))
-    new = F.lit(max_recid) + F.col("nth_fresh")
+    log = _balanced(log.select("seq", "op", "recid"), "delete")
+    new = F.lit(max_recid) + F.sum(F.col("fresh").cast("int")).over(running)
     if first_freed:
-        log = log.withColumn("nth", F.sum(F.when(F.col("op") == "delete", 1).when(~F.col("fresh"), 1).otherwise(0)).over(Window.partitionBy("op").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
-        freed = log.where("op = 'delete'").select("nth", F.col("recid").alias("reused"))
-        log = log.join(freed, "nth", "left")
-        recid = F.when(F.col("op") == "delete", F.col("recid")).when(F.col("fresh"), new).otherwise(F.col("reused"))
-        return log.select("seq", "op", recid.cast("long").alias("recid"))
-    # The level that a delete fills is the one that the put which takes it leaves.
-    level = F.when(F.col("op") == "delete", F.col("free")).otherwise(F.col("free") + 1)
-    stack = Window.partitionBy("fresh", level).orderBy("seq")
-    recid = F.when(F.col("op") == "delete", F.col("recid")).when(F.col("fresh"), new).otherwise(F.lag("recid").over(stack))
+        # The n-th put that reuses takes the n-th delete's recid.
+        counts = F.when((F.col("op") == "delete") | ~F.col("fresh"), 1).otherwise(0)
+        log = log.withColumn("new", new).withColumn("nth", F.sum(counts).over(Window.partitionBy("op").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+        reused = log.where("op = 'delete'").select("nth", F.col("recid").alias("reused"))
+        log = log.join(reused, "nth", "left")
+    else:
+        log = log.withColumn("new", new).withColumn("reused", _last_added(log, "delete", "recid"))
+    recid = F.when(F.col("op") == "delete", F.col("recid")).when(F.col("fresh"), F.col("new")).otherwise(F.col("reused"))
     return log.select("seq", "op", recid.cast("long").alias("recid"))
 
 
 def stack_pops(log: DataFrame) -> DataFrame:
     """``seq, op, value`` of ``log(seq, op, value)`` with ops "push" and "pop": what a last-in-first-out stack pops, 0 when empty."""
-    named = log.select("seq", F.when(F.col("op") == "push", "delete").otherwise("put").alias("op"), F.col("value").alias("recid"))
-    done = allocate(named, 0)
-    fresh = done.join(log.select("seq", "value"), "seq")
-    popped = fresh.withColumn("rank", F.lit(0))
-    running = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    balance = popped.withColumn("s", F.sum(F.when(F.col("op") == "delete", 1).otherwise(-1)).over(running))
-    balance = balance.withColumn("free", F.col("s") - F.least(F.lit(0), F.min("s").over(running)))
-    empty = (F.col("op") == "put") & (F.coalesce(F.lag("free").over(Window.orderBy("seq")), F.lit(0)) == 0)
-    return balance.withColumn("empty", empty).select("seq", F.when(F.col("op") == "delete", "push").otherwise("pop").alias("op"), F.when(F.col("empty"), F.lit(0)).otherwise(F.col("recid")).cast("long").alias("value"))
+    log = _balanced(log.select("seq", "op", "value"), "push")
+    popped = F.when(F.col("op") == "push", F.col("value")).when(F.col("fresh"), F.lit(0)).otherwise(_last_added(log, "push", "value"))
+    return log.select("seq", "op", popped.cast("long").alias("value"))

@@ -18,7 +18,8 @@ from tessera.operators.state import LIVE, PREALLOC
 from tessera.plans.store import RecordStore
 
 
-def _manifests(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+def manifests(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Number and place of every published snapshot's manifest, ascending."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest-*")) if fs.exists(root) else None
@@ -33,7 +34,7 @@ def _checksum(state: DataFrame) -> tuple[int, int]:
 def commit(store: RecordStore, path: str) -> int:
     """Publish a snapshot under ``path``; its number. What was written without a manifest is never read: that is rollback."""
     spark = store.state.sparkSession
-    version = (_manifests(spark, path) or [(0, "")])[-1][0] + 1
+    version = (manifests(spark, path) or [(0, "")])[-1][0] + 1
     folder = f"{path}/snapshot-{version}"
     store.state.repartitionByRange("recid").sortWithinPartitions("recid").write.mode("overwrite").parquet(folder)
     rows, checksum = _checksum(spark.read.parquet(folder))
@@ -44,7 +45,7 @@ def commit(store: RecordStore, path: str) -> int:
 
 def reopen(spark: SparkSession, path: str, version: int | None = None) -> RecordStore:
     """The last published store, or an earlier one; an error if its rows aren't those that were committed."""
-    named = dict(_manifests(spark, path))
+    named = dict(manifests(spark, path))
     manifest = json.loads(spark.read.text(named[version or max(named)]).first()[0])
     state = spark.read.parquet(f"{path}/snapshot-{manifest['version']}")
     if _checksum(state) != (manifest["rows"], manifest["checksum"]):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.sources.snapshot import commit, reopen
+from tessera.sources.snapshot import commit, manifests, reopen
 
 
 def run_log(ops: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -17,11 +17,7 @@ def run_log(ops: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        store = reopen(spark, path)
-        from tessera.sources.snapshot import _manifests
-
-        if _manifests(spark, path)[-1][0] >= number + 2:
-            return
-        commit(store.apply(batch)[0], path)
+        if manifests(spark, path)[-1][0] < number + 2:
+            commit(reopen(spark, path).apply(batch)[0], path)
 
     return ops.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
