@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.scratch import materialize
+
 #: The markers of this template and of other common ones, none of which may occur in an escaped text.
 CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _CONTROL = re.compile("|".join(map(re.escape, ("\\", *CONTROL))))
@@ -125,11 +127,11 @@ def blocks(conversations: DataFrame, tokenizer: str, pattern: str, *, share_char
     whole = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     first = F.get("turns", F.lit(0))
     size = F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + F.length(t["text"]) + 32)
-    whole = whole.select("conv_id", "turns", F.xxhash64(first["role"], first["text"]).alias("root"), size.alias("chars"))
+    whole = materialize(whole.select("conv_id", "turns", F.xxhash64(first["role"], first["text"]).alias("root"), size.alias("chars")), "conversations")
     large = whole.groupBy("root").agg(F.sum("chars").alias("all_chars")).where(F.col("all_chars") > share_chars)
     shares = F.coalesce(F.ceil(F.col("all_chars") / share_chars), F.lit(1))
     dealt = whole.join(large, "root", "left").withColumn("share", F.pmod(F.xxhash64("conv_id"), shares))
-    # Each group takes what the hash gives it: on average 1/8 to 1 times 8 shares, never more than its part of the whole.
+    # A share holds about share_chars at most, and a group a few shares.
     total = whole.agg(F.sum("chars")).first()[0] or 0
     groups = max(1, -(-total // (4 * share_chars)))
     dealt = dealt.select(F.pmod(F.xxhash64("root", "share"), F.lit(groups)).alias("group"), "root", "share", "conv_id", "turns", "chars")
