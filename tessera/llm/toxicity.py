@@ -167,7 +167,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(score), lists], ["doc_id", "score", "spans"])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, per_class: int = 1200, max_chars: int = 30_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, per_class: int = 1000, max_chars: int = 20_000) -> DataFrame:
     """``doc_id, held_out, score, predicted, spans`` of every row of ``docs(doc_id, text)``.
 
     ``labels(doc_id, toxic)`` teaches the model, held-out rows aside, by at most ``per_class`` rows a class of up to
@@ -181,7 +181,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, per_
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
 
 
-def not_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, per_class: int = 1200, max_chars: int = 30_000) -> DataFrame:
+def not_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, per_class: int = 1000, max_chars: int = 20_000) -> DataFrame:
     """The rows of ``docs`` that ``toxicity`` doesn't reject, with all their columns: scored and filtered where they lie, without a shuffle."""
     model = train(sample(docs, labels, "toxic", per_class=per_class, max_chars=max_chars))
     place = docs.columns.index("text")
