@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import materialize
+from tessera.llm.scratch import materialize, partitions
 
 #: The markers of this template and of other common ones, none of which may occur in an escaped text.
 CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -133,7 +133,7 @@ def blocks(conversations: DataFrame, tokenizer: str, pattern: str, *, share_char
     dealt = whole.join(large, "root", "left").withColumn("share", F.pmod(F.xxhash64("conv_id"), shares))
     # A share holds about share_chars at most, and a group a few shares.
     total = whole.agg(F.sum("chars")).first()[0] or 0
-    groups = max(1, -(-total // (4 * share_chars)))
+    groups = max(partitions(conversations.sparkSession), -(-total // (4 * share_chars)))
     dealt = dealt.select(F.pmod(F.xxhash64("root", "share"), F.lit(groups)).alias("group"), "root", "share", "conv_id", "turns", "chars")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
