@@ -206,7 +206,7 @@ def hub_pairs(buckets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, *, k: int = 5, percent: int = 85, chunks: int = 12, width: int = 6, pair_up_to: int = 64
+    docs: DataFrame, *, k: int = 5, percent: int = 85, chunks: int = 12, width: int = 6, differ: int | None = None, pair_up_to: int = 64
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
 
@@ -215,10 +215,11 @@ def near_duplicates(
     empty one. Ties do not arise (ids decide); rows that repeat an id are each returned and count as one node, linked by any
     of their texts;
     an empty table gives an empty result; further columns are ignored. ``chunks * width`` symbols make the signature and
-    2 * chunks - 1 of them may differ; at the defaults a pair at exactly 85 % is beyond that with a probability under
-    1e-4 and any closer one with less. Buckets of up to ``pair_up_to`` members pair their components directly.
+    ``differ`` of them may differ, or else 2 * chunks - 1; at the defaults a pair at exactly 85 % is beyond that with a
+    probability under 1e-4 and any closer one with less. Up to 2 * chunks - 1 a pair surely shares a bucket; a pair at
+    exactly 80 % misses all buckets of 12 chunks of 6 with a probability of 3e-6. Buckets of up to ``pair_up_to`` members pair their components directly.
     """
-    symbols, r = chunks * width, 2 * chunks - 1
+    symbols, r = chunks * width, 2 * chunks - 1 if differ is None else differ
     sketches = materialize(sketch(docs, k, symbols), "sketches")
     full = sketches.where("n_shingles > 0")
     groups = full.groupBy("n_shingles", "set_one", "set_two").agg(F.min("doc_id").alias("rep"))

@@ -1,7 +1,10 @@
 """The corpus pipeline, stage by stage, on the smallest tables."""
 
+import random
+
 import corpus_pipeline
 from tessera.llm.scratch import materialize
+from test_near_dedup import DOC, brute, corpus
 
 DATA = "/root/testdata/sf0.001"
 
@@ -17,3 +20,14 @@ def test_each_stage_works_on_what_the_last_one_kept(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert kept == sorted(kept, reverse=True) and kept[-1] < kept[0]
     assert packed.select("doc_id").distinct().count() == kept[-1]
+
+
+def test_near_dedup_stage_drops_copies_from_80_percent_on(spark):
+    docs, rnd = corpus(4), random.Random(5)
+    for i in range(60):  # one changed word inside 44 to 60 words: 78 % to 85 % in common
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(44 + i % 17)]
+        copy = [*words[:20], "changed", *words[21:]]
+        docs += [(10_000 + 2 * i, " ".join(words)), (10_001 + 2 * i, " ".join(copy))]
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, DOC), DATA).collect())
+    want = {percent: sorted(r[0] for r in brute(docs, percent) if r[3]) for percent in (80, 85)}
+    assert kept == want[80] != want[85]
