@@ -10,7 +10,7 @@ weighted dot product of the piece with the residual capacities, or by the smalle
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -148,6 +148,24 @@ def best_fit(sizes: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule:
     return bins, order
 
 
+_SEQUENCE = "sequence_id long, ids array<int>, doc_ids array<long>, pieces array<int>, starts array<long>, ends array<long>"
+
+
+def _joined(pieces: pa.Table, placed: pd.DataFrame) -> pa.RecordBatch:
+    """A row for each sequence: its ids, and which piece's ids end where in it; ``placed`` names the pieces by ``_row``."""
+    placed = placed.sort_values(["sequence_id", "offset"], kind="stable")
+    first = np.flatnonzero(np.diff(placed["sequence_id"].to_numpy(), prepend=-1))
+    bounds = pa.array(np.append(first, len(placed)).astype(np.int32))
+    rows = pa.array(placed["_row"].to_numpy())
+    taken = lambda name: pieces.column(name).combine_chunks().take(rows)
+    listed = lambda values: pa.ListArray.from_arrays(bounds, values)
+    before = np.concatenate([[0], np.cumsum(placed["length"].to_numpy())])[[*first, len(placed)]]
+    ids = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), taken("ids").flatten())
+    ends = pa.array((placed["offset"] + placed["length"]).to_numpy())
+    columns = [pa.array(placed["sequence_id"].to_numpy()[first]), ids, *(listed(x) for x in (taken("doc_id"), taken("piece"), taken("start"), ends))]
+    return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _SEQUENCE.split(", ")])
+
+
 def pack(
     pieces: DataFrame,
     *,
@@ -157,18 +175,19 @@ def pack(
     weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
     rule: str = "norm",
     group_sequences: int = 2048,
+    read: tuple[Callable[[pa.RecordBatch], pa.Table], str] | None = None,
 ) -> DataFrame:
     """``pieces(doc_id, piece, length, ...)`` with ``sequence_id, offset`` added.
 
     A sequence holds at most ``max_tokens`` ids, ``max_documents`` pieces and an attention cost (the sum of the squared
     lengths) of ``max_attention``; None sets a bound that the tokens imply anyway. Every piece is placed, none is cut; a
     piece beyond a capacity by itself is an error. Repeated rows are packed each; an empty table gives an empty result;
-    columns other than the two added pass through.
+    columns other than the two added pass through. ``read``,
+    a function and its schema, gets each group's pieces with ids as rows like those of ``sequences`` and gives the result.
     """
     capacity = np.array([max_tokens, max_documents or max_tokens, max_attention or max_tokens**2], float)
     total = pieces.agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(total / (max_tokens * group_sequences)))
-    names = pieces.columns
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         group = int(pdf["_group"].iloc[0])
@@ -181,17 +200,54 @@ def pack(
         placed = pd.DataFrame({"bin": bins[order], "length": length[order]})
         offset = np.empty(len(pdf), np.int64)
         offset[order] = (placed.groupby("bin")["length"].cumsum() - placed["length"]).to_numpy()
-        return pdf[names].assign(sequence_id=(group << 32) + bins, offset=offset)
+        return pdf.drop(columns="_group").assign(sequence_id=(group << 32) + bins, offset=offset)
+
+    def joined(table: pa.Table) -> pa.Table:
+        return read[0](_joined(table, packed(table.drop_columns(["ids"]).to_pandas().assign(_row=np.arange(len(table))))))
 
     group = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("long")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return pieces.withColumn("_group", group).groupBy("_group").applyInPandas(packed, f"{fields}, sequence_id long, offset long")
+    grouped = pieces.withColumn("_group", group).groupBy("_group")
+    return grouped.applyInArrow(joined, read[1]) if read else grouped.applyInPandas(packed, f"{fields}, sequence_id long, offset long")
+
+
+def _packed_ids(docs: DataFrame, tokenizer: str, read: Callable[[pa.RecordBatch], pa.Table], schema: str, bounds: dict) -> DataFrame:
+    pieces = tokenized(docs, tokenizer, max_tokens=bounds.get("max_tokens", 2048), keep_ids=True).drop("ids_crc32")
+    return pack(materialize(pieces, "pieces"), read=(read, schema), **bounds)
+
+
+def sequences(docs: DataFrame, tokenizer: str, **bounds) -> DataFrame:
+    """``sequence_id, ids, doc_ids, pieces, starts, ends``: the packed training sequences of ``docs(doc_id, text)``.
+
+    Of the pieces in a row, ``ends`` tells where each ends in ``ids``, and ``starts`` where it begins in its document.
+    """
+    return _packed_ids(docs, tokenizer, lambda packed: pa.Table.from_batches([packed]), _SEQUENCE, bounds)
+
+
+_PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+
+
+def _unpacked(packed: pa.RecordBatch, keep_ids: bool) -> pa.Table:
+    """The pieces of sequences: lengths, offsets, checksums and ids are taken from the sequences' own ids."""
+    at, ids = np.asarray(packed.column(1).offsets).astype(np.int64), np.asarray(packed.column(1).values)
+    doc_id, piece, start, end = (packed.column(c).flatten() for c in range(2, 6))
+    row = np.repeat(np.arange(len(packed)), np.asarray(packed.column(5).value_lengths()))
+    end = np.asarray(end)
+    offset = np.where(np.diff(row, prepend=-1) > 0, 0, np.concatenate([[0], end[:-1]]))
+    s, e = at[row] + offset, at[row] + end
+    raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+    crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(s.tolist(), e.tolist(), strict=True)]
+    out = [doc_id, piece, start, pa.array(end - offset), pa.array(crc, pa.int64()), packed.column(0).take(pa.array(row)), pa.array(offset)]
+    if keep_ids:
+        out.append(pa.ListArray.from_arrays(pa.array(np.append(s, len(ids)).astype(np.int32)), pa.array(ids)))
+    return pa.Table.from_arrays(out, [f.split()[0] for f in _PLACED.split(", ")] + ["ids"] * keep_ids)
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, **bounds) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece of ``docs(doc_id, text)``.
+def packed_documents(docs: DataFrame, tokenizer: str, *, keep_ids: bool = False, **bounds) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` and, on request, ``ids`` of every piece of ``docs(doc_id, text)``.
 
-    A null or empty text is one piece, its end id alone. Rows that repeat an id are packed each.
+    All of it is read back from the packed sequences. A null or empty text is one piece, its end id alone. Rows that
+    repeat an id are packed each.
     """
-    most = bounds.get("max_tokens", 2048)
-    return pack(materialize(tokenized(docs, tokenizer, max_tokens=most), "pieces"), **bounds)
+    schema = _PLACED + ", ids array<int>" * keep_ids
+    return _packed_ids(docs, tokenizer, lambda packed: _unpacked(packed, keep_ids), schema, bounds)

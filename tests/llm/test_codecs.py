@@ -107,6 +107,25 @@ def test_packing_keeps_every_id(spark):
     assert packing.packed_documents(spark.createDataFrame([], DOC), WORDS).collect() == []
 
 
+def test_sequences_hold_the_ids_that_the_rows_are_read_from(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(WORDS)
+    docs = odd(spark).select("doc_id", "text").unionByName(spark.createDataFrame([(None, "no id"), (7, "again")], DOC))
+    rows = packing.packed_documents(docs, WORDS, keep_ids=True, group_sequences=2).collect()
+    packed = {r["sequence_id"]: r for r in packing.sequences(docs, WORDS, group_sequences=2).collect()}
+    own, want = {}, []
+    for r in sorted(rows, key=lambda r: r["offset"]):
+        ids = packed[r["sequence_id"]]["ids"][r["offset"] : r["offset"] + r["length"]]
+        assert r["ids"] == ids and r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+        own.setdefault(r["sequence_id"], []).extend(ids)
+    assert own == {s: r["ids"] for s, r in packed.items()} and max(map(len, own.values())) <= 2048
+    for d, t in [*enumerate(ODD), (None, "no id"), (7, "again")]:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
+        want += [(d, i, ids[i * 2048 : (i + 1) * 2048]) for i in range(-(-len(ids) // 2048))]
+    assert sorted(want, key=repr) == sorted(((r["doc_id"], r["piece"], r["ids"]) for r in rows), key=repr)
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(rule):
     rng = np.random.default_rng(1)

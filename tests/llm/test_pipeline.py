@@ -31,3 +31,9 @@ def test_near_dedup_stage_drops_copies_from_80_percent_on(spark):
     kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, DOC), DATA).collect())
     want = {percent: sorted(r[0] for r in brute(docs, percent) if r[3]) for percent in (80, 85)}
     assert kept == want[80] != want[85]
+
+
+def test_the_last_stage_gives_tokens(spark):
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], DOC)
+    packed = corpus_pipeline.packing(spark, docs, DATA).collect()
+    assert sorted((r["doc_id"], len(r["ids"]) == r["length"], r["ids"][-1]) for r in packed) == [(1, True, 0), (2, True, 0)]
