@@ -176,6 +176,13 @@ def big_endian(x: Column, size: int) -> Column:
     return F.right(F.lpad(F.hex(_long(x)), 16, "0"), F.lit(2 * size))
 
 
+def from_big_endian(digits: Column, size: int, signed: bool = True) -> Column:
+    """The integer of ``size`` bytes given as hex digits: two's complement, or unsigned as six-byte numbers are stored."""
+    plain = F.conv(digits, 16, 10).cast("decimal(20,0)")
+    top = Decimal(1 << (8 * size))
+    return plain.cast("long") if not signed else F.when(plain >= top / 2, plain - F.lit(top)).otherwise(plain).cast("long")
+
+
 #: Fixed values of the index slot: where its type, size and page begin.
 SLOT_TYPE_SHIFT, SLOT_SIZE_SHIFT = 56, 40
 

@@ -97,6 +97,42 @@ def group_common_prefix(a: Column) -> Column:
     return common_prefix(F.array_min(a), F.array_max(a))
 
 
+def prefix_encode(a: Column) -> Column:
+    """A group of strings as the prefix that all of them share, once, and what follows it in each."""
+    n = F.coalesce(group_common_prefix(a), F.lit(0))
+    prefix = F.coalesce(F.substring(F.array_min(a), F.lit(1), n), F.lit(""))
+    return F.struct(prefix.alias("prefix"), F.transform(a, lambda x: F.substring(x, n + 1, F.length(x))).alias("suffixes"))
+
+
+def prefix_decode(encoded: Column) -> Column:
+    """The strings of ``prefix_encode``."""
+    return F.transform(encoded["suffixes"], lambda x: F.concat(encoded["prefix"], x))
+
+
+def array_common_prefix(a: Column, b: Column) -> Column:
+    """Number of leading elements that two arrays share; nulls equal each other."""
+    n = F.least(F.size(a), F.size(b))
+    differ = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int")
+    return F.when(differ == 0, n).otherwise(F.least(differ - 1, n))
+
+
+def array_delta_encode(a: Column) -> Column:
+    """Each array of a group as how many leading elements it shares with the one before, and the rest of its own."""
+
+    def one(x: Column, i: Column) -> Column:
+        shared = F.when(i == 0, F.lit(0)).otherwise(array_common_prefix(x, F.get(a, i - 1)))
+        return F.struct(shared.alias("shared"), F.slice(x, shared + 1, F.size(x)).alias("rest"))
+
+    return F.transform(a, one)
+
+
+def array_delta_decode(encoded: Column) -> Column:
+    """The arrays of ``array_delta_encode``, in one pass."""
+    start = F.slice(F.transform(encoded, lambda x: x["rest"]), 1, 0)
+    last = lambda out: F.coalesce(F.get(out, F.size(out) - 1), F.slice(F.get(encoded, F.lit(0))["rest"], 1, 0))
+    return F.aggregate(encoded, start, lambda out, x: F.array_append(out, F.concat(F.slice(last(out), F.lit(1), x["shared"]), x["rest"])))
+
+
 def is_unicode(s: Column) -> Column:
     """Whether a string needs more than seven bits for a character."""
     return s.rlike("[^\\x00-\\x7F]")

@@ -168,3 +168,18 @@ def test_export_and_import(spark, tmp_path):
     main(["export", "-d", f"file://{tmp_path}/a", "-o", f"file://{tmp_path}/out"])
     main(["import", "-d", f"file://{tmp_path}/b", "-i", f"file://{tmp_path}/out"])
     assert [tuple(r) for r in reopen(spark, f"file://{tmp_path}/b").state.collect()] == [(1, 2, 10)]
+
+
+def test_prefixes_and_big_endian_come_back(spark):
+    texts = [["abc", "abd", "ab"], ["é☃x", "é☃"], ["one"], ["", "a"], []]
+    rows = spark.createDataFrame([(t,) for t in texts], "a array<string>").select("a", c.prefix_encode(F.col("a")).alias("e")).select("a", "e.prefix", c.prefix_decode(F.col("e")).alias("back")).collect()
+    assert [r["prefix"] for r in rows] == ["ab", "é☃", "one", "", ""] and all(r["a"] == r["back"] for r in rows)
+    groups = [[[1, 2, 3], [1, 2, 4], [1, 2], [], [5], [5, None], [5, None, 6]], [[]], []]
+    rows = spark.createDataFrame([(g,) for g in groups], "a array<array<int>>").select("a", c.array_delta_encode(F.col("a")).alias("e")).select("a", "e.shared", "e.rest", c.array_delta_decode(F.col("e")).alias("back")).collect()
+    assert rows[0]["shared"] == [0, 2, 2, 0, 0, 1, 2] and rows[0]["rest"] == [[1, 2, 3], [4], [], [], [5], [None], [6]]
+    assert all(r["a"] == r["back"] for r in rows)
+    for size in (4, 6, 8):
+        ends = [0, 1, -1, 255, 2 ** (8 * size - 1) - 1, -(2 ** (8 * size - 1))]
+        got = spark.createDataFrame([(x,) for x in ends], "x long").select(bits.from_big_endian(bits.big_endian(F.col("x"), size), size)).collect()
+        assert [r[0] for r in got] == ends
+    assert spark.range(1).select(bits.from_big_endian(F.lit("FFFFFFFFFFFE"), 6, signed=False)).first()[0] == 2**48 - 2
