@@ -1,4 +1,4 @@
-"""Fingerprints, piece codec, packing, chat trees, page text and url templates: round trips and brute force."""
+"""Fingerprints, piece codec, packing, chat trees and url templates: round trips and brute force."""
 
 import hashlib
 import random
@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, fingerprint, html_text, packing, piece_codec, queries, url_filter
+from tessera.llm import chat_format, fingerprint, packing, piece_codec, queries, url_filter
 
 DATA = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string"
@@ -164,24 +164,6 @@ def test_a_shared_turn_is_emitted_once(spark):
     assert len(block["nodes"]) == 6 and [n["parent"] for n in block["nodes"]] == [-1, 0, 0, 0, 0, 0]
 
 
-PAGE = """<html><head><title>T</title><script>if(a<b){"</p>"}</script></head><body><header><h1>Site</h1></header><nav>Home</nav><div class="cookie-notice">We use cookies</div>
-<div id="content"><article><h2>Head &amp; line</h2><p>First para with a <b>bo</b>ld <a href=x>link</a>.<p>Second   para
- goes on.<form><input><label>mail</label></form><aside>side</aside><div class="comments"><p>great post!!</p></div></article></div>
-<div class="sidebar"><p>Other story that is quite long, really it is and goes on and on.</p></div><footer>foot"""
-
-
-def test_page_text(spark):
-    pages = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "plain <b>te</b>xt"), (5, "u", "<div class=\"x><p>a</p>"), (6, "u", "<p>a < b &lt; c</p>"), (6, "u", "<p>a < b &lt; c</p>")]
-    got = html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()
-    assert [r["text"] for r in got] == ["Head & line First para with a bold link. Second para goes on.", "", "", "plain text", "a", "a < b < c", "a < b < c"]
-    assert all(r["n_chars"] == len(r["text"]) for r in got)
-
-
-def test_denser_subtree_wins_without_an_article_element():
-    page = "<body><div><a href=1>One two</a> <a href=2>Three</a></div><div><h2>Title</h2><p>" + "long text about things, " * 9 + "</p><p>" + "more words in a row, " * 9 + "</p></div><div><a href=3>Next story</a></div></body>"
-    assert html_text.main_text(page).startswith("Title long text") and "Next" not in html_text.main_text(page) and "Three" not in html_text.main_text(page)
-
-
 def test_urls(spark):
     urls = [None, "", "no scheme/x", "http://Sub.EXAMPLE.org/es/1", "x://example.org/en/12?q", "x://example.org/en/2#f", "x://badexample.org/es/1", "x://example.com/de/", "x://a.example.com/fr/x", "x://net", "x://org", "x://h.net/a/b/c/d?e", "x://h.net/a/b/c/d?e"]
     rows = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("verdict", F.lit(1)), queries.URL_RULES).collect()
