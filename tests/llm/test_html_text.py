@@ -59,29 +59,28 @@ def test_the_threshold_changes_what_is_taken():
 
 def brute(tree):
     """Texts taken from a tree of lists (blocks) and (text, linked) pairs, straight from the definitions."""
-    leaves, number = {}, [0]
+    leaves = []
 
-    def mark(node, path):
+    def mark(node):
         if isinstance(node, tuple):
-            leaves[number[0]] = (node, path)
-            number[0] += 1
-            return [number[0] - 1]
-        return [mark(x, (*path, i)) for i, x in enumerate(node)]
+            leaves.append(node)
+            return len(leaves) - 1
+        return [mark(x) for x in node]
 
-    marked = mark(tree, ())
+    marked = mark(tree)
 
     def flat(node):
         return [node] if isinstance(node, int) else [x for n in node for x in flat(n)]
 
     def counts(node):
         own = [leaves[x] for x in flat(node)]
-        chars = sum(len(t[0]) for t, _ in own)
-        linked = sum(len(t[0]) for t, _ in own if t[1])
-        links = sum(t[1] for t, _ in own)
-        return chars, linked, links, (0 if len(node) == 1 and isinstance(node[0], int) else inner(node)) + links
+        chars = sum(len(t) for t, _ in own)
+        linked = sum(len(t) for t, link in own if link)
+        links = sum(link for _, link in own)
+        return chars, linked, links, inner(node) + links
 
     def inner(node):
-        return sum(1 + (inner(x) if not (len(x) == 1 and isinstance(x[0], int)) else 0) for x in node if isinstance(x, list))
+        return sum(1 + inner(x) for x in node if isinstance(x, list))
 
     whole = counts(marked)
 
@@ -119,7 +118,7 @@ def brute(tree):
 
     if total(best) > 0:
         visit(marked)
-    return " ".join(leaves[x][0][0] for x in sorted(taken))
+    return " ".join(leaves[x][0] for x in sorted(taken))
 
 
 def test_equals_brute_force_over_random_trees():
