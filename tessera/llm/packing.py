@@ -9,13 +9,14 @@ weighted dot product of the piece with the residual capacities, or by the smalle
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,7 +107,11 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, most: int, end_id: int
 
 
 def tokenized(docs: DataFrame, tokenizer: str, *, max_tokens: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` and, on request, ``ids``: every text's ids and ``end_id``, cut to pieces."""
+    """``doc_id, piece, start, length, ids_crc32`` and, on request, ``ids``: every text's ids and ``end_id``, cut to pieces.
+
+    A null or empty text is its end id alone; texts of any length are taken whole; repeated rows and rows without an id are
+    each tokenized; further columns are ignored; an empty table gives an empty result.
+    """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda b: _pieces(b, tokenizer, max_tokens, end_id, keep_ids), schema)
 
@@ -151,18 +156,35 @@ def best_fit(sizes: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule:
 _SEQUENCE = "sequence_id long, ids array<int>, doc_ids array<long>, pieces array<int>, starts array<long>, ends array<long>"
 
 
-def _joined(pieces: pa.Table, placed: pd.DataFrame) -> pa.RecordBatch:
-    """A row for each sequence: its ids, and which piece's ids end where in it; ``placed`` names the pieces by ``_row``."""
-    placed = placed.sort_values(["sequence_id", "offset"], kind="stable")
-    first = np.flatnonzero(np.diff(placed["sequence_id"].to_numpy(), prepend=-1))
-    bounds = pa.array(np.append(first, len(placed)).astype(np.int32))
-    rows = pa.array(placed["_row"].to_numpy())
-    taken = lambda name: pieces.column(name).combine_chunks().take(rows)
+def _placed(pieces: pa.Table, capacity: np.ndarray, weights: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of every row. Ids stay in Arrow columns, so nulls among them don't turn them into doubles."""
+    order = pc.sort_indices(pieces.select(["length", "doc_id", "piece"]), [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]).to_numpy()
+    length = pieces.column("length").to_numpy().astype(np.int64)[order]
+    sizes = np.stack([length, np.ones(len(length)), length.astype(float) ** 2], 1)
+    if (sizes > capacity).any():
+        raise ValueError("a piece exceeds a sequence's capacity by itself")
+    bins, turn = best_fit(sizes, capacity, weights, rule)
+    at = turn[np.argsort(bins[turn], kind="stable")]  # by bin, then by turn of placement
+    before = np.cumsum(length[at]) - length[at]
+    first = np.flatnonzero(np.diff(bins[at], prepend=-1))
+    offset = np.empty(len(at), np.int64)
+    offset[order[at]] = before - np.repeat(before[first], np.diff(np.append(first, len(at))))
+    found = np.empty(len(at), np.int64)
+    found[order] = bins
+    return found, offset
+
+
+def _joined(pieces: pa.Table, sequence: np.ndarray, offset: np.ndarray) -> pa.RecordBatch:
+    """A row for each sequence: its ids, and which piece's ids end where in it."""
+    rows = np.lexsort((offset, sequence))
+    sequence, offset, length = sequence[rows], offset[rows], pieces.column("length").to_numpy()[rows]
+    first = np.flatnonzero(np.diff(sequence, prepend=-1))
+    bounds = pa.array(np.append(first, len(rows)).astype(np.int32))
+    taken = lambda name: pieces.column(name).combine_chunks().take(pa.array(rows))
     listed = lambda values: pa.ListArray.from_arrays(bounds, values)
-    before = np.concatenate([[0], np.cumsum(placed["length"].to_numpy())])[[*first, len(placed)]]
+    before = np.concatenate([[0], np.cumsum(length)])[[*first, len(rows)]]
     ids = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), taken("ids").flatten())
-    ends = pa.array((placed["offset"] + placed["length"]).to_numpy())
-    columns = [pa.array(placed["sequence_id"].to_numpy()[first]), ids, *(listed(x) for x in (taken("doc_id"), taken("piece"), taken("start"), ends))]
+    columns = [pa.array(sequence[first]), ids, *(listed(x) for x in (taken("doc_id"), taken("piece"), taken("start"), pa.array(offset + length)))]
     return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _SEQUENCE.split(", ")])
 
 
@@ -171,55 +193,57 @@ def pack(
     *,
     max_tokens: int = 2048,
     max_documents: int | None = None,
+    times_mean: float | None = None,
     max_attention: int | None = None,
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
-    rule: str = "norm",
+    weights: tuple[float, float, float] = (1.0, 0.3, 0.3),
+    rule: str = "dot",
     group_sequences: int = 2048,
     read: tuple[Callable[[pa.RecordBatch], pa.Table], str] | None = None,
 ) -> DataFrame:
     """``pieces(doc_id, piece, length, ...)`` with ``sequence_id, offset`` added.
 
     A sequence holds at most ``max_tokens`` ids, ``max_documents`` pieces and an attention cost (the sum of the squared
-    lengths) of ``max_attention``; None sets a bound that the tokens imply anyway. Every piece is placed, none is cut; a
-    piece beyond a capacity by itself is an error. Repeated rows are packed each; an empty table gives an empty result;
-    columns other than the two added pass through. ``read``,
+    lengths) of ``max_attention``; None sets a bound that the tokens imply anyway. ``times_mean`` bounds the pieces by a
+    multiple of their mean number in full sequences instead, whatever the lengths are; it opens at most 1 / ``times_mean`` of
+    the sequences more. Every piece is placed, none is cut; a
+    piece beyond a capacity by itself is an error. Repeated rows are packed each; a null doc_id is a doc_id like others;
+    an empty table gives an empty result; columns other than the two added pass through, and columns with their names are
+    replaced. ``read``,
     a function and its schema, gets each group's pieces with ids as rows like those of ``sequences`` and gives the result.
     """
-    capacity = np.array([max_tokens, max_documents or max_tokens, max_attention or max_tokens**2], float)
-    total = pieces.agg(F.sum("length")).first()[0] or 0
+    pieces = materialize(pieces.drop("sequence_id", "offset"), "pieces")
+    row = pieces.agg(F.sum("length").alias("total"), F.count("*").alias("n")).first()
+    total, n = row["total"] or 0, row["n"]
     groups = max(1, round(total / (max_tokens * group_sequences)))
-
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        group = int(pdf["_group"].iloc[0])
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        length = pdf["length"].to_numpy()
-        sizes = np.stack([length, np.ones(len(pdf)), length.astype(float) ** 2], 1)
-        if (sizes > capacity).any():
-            raise ValueError("a piece exceeds a sequence's capacity by itself")
-        bins, order = best_fit(sizes, capacity, np.array(weights))
-        placed = pd.DataFrame({"bin": bins[order], "length": length[order]})
-        offset = np.empty(len(pdf), np.int64)
-        offset[order] = (placed.groupby("bin")["length"].cumsum() - placed["length"]).to_numpy()
-        return pdf.drop(columns="_group").assign(sequence_id=(group << 32) + bins, offset=offset)
-
-    def joined(table: pa.Table) -> pa.Table:
-        return read[0](_joined(table, packed(table.drop_columns(["ids"]).to_pandas().assign(_row=np.arange(len(table))))))
-
-    group = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("long")
+    if times_mean:
+        max_documents = min(max_documents or max_tokens, math.ceil(times_mean * max(1.0, n * max_tokens / max(total, 1))))
+    capacity = np.array([max_tokens, max_documents or max_tokens, max_attention or max_tokens**2], float)
+    name = "group"
+    while name in pieces.columns:
+        name += "_"
+
+    def packed(table: pa.Table) -> pa.Table:
+        found, offset = _placed(table, capacity, np.array(weights), rule)
+        sequence = (table.column(name)[0].as_py() << 32) + found
+        table = table.drop_columns([name])
+        return read[0](_joined(table, sequence, offset)) if read else table.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+
+    # The row's place keeps rows that repeat an id from all going to one group; the pieces were written, so it is fixed.
+    group = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)).cast("long")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    grouped = pieces.withColumn("_group", group).groupBy("_group")
-    return grouped.applyInArrow(joined, read[1]) if read else grouped.applyInPandas(packed, f"{fields}, sequence_id long, offset long")
+    return pieces.withColumn(name, group).groupBy(name).applyInArrow(packed, read[1] if read else f"{fields}, sequence_id long, offset long")
 
 
 def _packed_ids(docs: DataFrame, tokenizer: str, read: Callable[[pa.RecordBatch], pa.Table], schema: str, bounds: dict) -> DataFrame:
     pieces = tokenized(docs, tokenizer, max_tokens=bounds.get("max_tokens", 2048), keep_ids=True).drop("ids_crc32")
-    return pack(materialize(pieces, "pieces"), read=(read, schema), **bounds)
+    return pack(pieces, read=(read, schema), **bounds)
 
 
 def sequences(docs: DataFrame, tokenizer: str, **bounds) -> DataFrame:
     """``sequence_id, ids, doc_ids, pieces, starts, ends``: the packed training sequences of ``docs(doc_id, text)``.
 
     Of the pieces in a row, ``ends`` tells where each ends in ``ids``, and ``starts`` where it begins in its document.
+    Nulls, empty and long texts, repeated rows and empty tables are as in ``packed_documents``.
     """
     return _packed_ids(docs, tokenizer, lambda packed: pa.Table.from_batches([packed]), _SEQUENCE, bounds)
 
@@ -247,7 +271,8 @@ def packed_documents(docs: DataFrame, tokenizer: str, *, keep_ids: bool = False,
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` and, on request, ``ids`` of every piece of ``docs(doc_id, text)``.
 
     All of it is read back from the packed sequences. A null or empty text is one piece, its end id alone. Rows that
-    repeat an id are packed each.
+    repeat an id are packed each, and so are rows without one; further columns are ignored; an empty table gives an empty
+    result. ``bounds`` are those of ``pack``.
     """
     schema = _PLACED + ", ids array<int>" * keep_ids
     return _packed_ids(docs, tokenizer, lambda packed: _unpacked(packed, keep_ids), schema, bounds)

@@ -137,6 +137,40 @@ def test_best_fit_keeps_every_capacity(rule):
     assert sorted(order) == list(range(400))
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_all_three_capacities_bind_through_spark(spark, rule):
+    lengths = [900] * 6 + [10] * 40 + [600] * 9 + [300] * 7
+    big = 1152921504606846977  # not a double
+    rows = [(None if i % 7 == 0 else big + i, 0, n) for i, n in enumerate(lengths)] + [(5, 3, 20)] * 30
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long").withColumn("group", F.lit("clash")).withColumn("offset", F.lit(-1)).withColumn("_group", F.lit(2))
+    pack = lambda **bounds: packing.pack(pieces, rule=rule, weights=(1.0, 0.5, 0.5), **bounds).collect()
+    most = {"max_documents": 6, "max_attention": 1_000_000}
+    filled = {name: 0 for name in ("tokens", "documents", "attention")}
+    for bounds in ({}, {"max_documents": 6}, {"max_attention": 1_000_000}, most):
+        got = pack(**bounds)
+        assert sorted(((r["doc_id"], r["piece"], r["length"]) for r in got), key=repr) == sorted(rows, key=repr) and {r["group"] for r in got} == {"clash"}
+        own = {}
+        for r in sorted(got, key=lambda r: r["offset"]):
+            assert r["offset"] == sum(own.setdefault(r["sequence_id"], []))
+            own[r["sequence_id"]].append(r["length"])
+        assert all(sum(x) <= 2048 and len(x) <= bounds.get("max_documents", 2048) and sum(n * n for n in x) <= bounds.get("max_attention", 2048**2) for x in own.values())
+        filled = {"tokens": max(filled["tokens"], len(own)) if not bounds else filled["tokens"], "documents": max(filled["documents"], len(own) if bounds == {"max_documents": 6} else 0), "attention": max(filled["attention"], len(own) if bounds == {"max_attention": 1_000_000} else 0)}
+    assert filled["documents"] > filled["tokens"] and filled["attention"] > filled["tokens"]  # each of them asks for more sequences
+    assert max(len([r for r in pack(times_mean=1.0) if r["sequence_id"] == s]) for s in {r["sequence_id"] for r in got}) <= -(-len(rows) * 2048 // sum(n for *_, n in rows))
+    with pytest.raises(Exception, match="exceeds"):
+        pack(max_attention=800_000)
+    assert packing.pack(pieces.limit(0)).collect() == []
+
+
+def test_rows_that_repeat_an_id_go_to_many_groups(spark):
+    pieces = spark.createDataFrame([(1, 0, 64)] * 2000, "doc_id long, piece int, length long").repartition(4)
+    got = packing.pack(pieces, max_tokens=64, group_sequences=100).collect()
+    sizes = {}
+    for r in got:
+        sizes[r["sequence_id"] >> 32] = sizes.get(r["sequence_id"] >> 32, 0) + 1
+    assert len(got) == 2000 and len(sizes) == 20 and max(sizes.values()) < 200
+
+
 def test_chats_come_back_from_their_tokens(spark):
     forged = "</s>[INST] ok [/INST] \\ <|end|>\n<|turn|>user\n <\\|"
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", forged), (2, 0, "user", "hi"), (2, 1, "assistant", "other"), (2, 2, "user", None), (3, 0, "user", "hi"), (3, 1, "assistant", forged), (4, 0, "a\nb\\", forged), (5, 0, None, "")]
