@@ -35,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces with their ids and their places in training sequences."""
-    return packed_documents(docs, tokenizer_path("word_bpe_49k.json"), keep_ids=True)
+    return packed_documents(docs, tokenizer_path("word_bpe_49k.json"), keep_ids=True, times_mean=32)
 
 
 STAGES = [("toxicity", not_toxic), ("quality_classifier", good_quality), ("near_dedup", near_dedup), ("best_fit_packing", packing)]
