@@ -6,33 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.scratch import materialize
+from tessera.llm.skew import heavy_keys, skew_join
 
 
 def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of the undirected ``links(a, b)``; component is its smallest reachable node.
 
     Each round every node takes the smallest label among itself and its neighbours, then the label of that label, so
-    a chain of n nodes needs about log2(n) rounds. Minima are combined before the shuffle, so a hub costs one row a
-    task; links and labels stay distributed, and the driver sees one flag a round.
+    a chain of n nodes needs about log2(n) rounds. A node with a large share of all links and a label that many nodes have
+    are dealt over many tasks; links and labels stay distributed, and the driver sees one flag a round. Links of a node
+    with itself and repeated ones don't count; a link with a null end is ignored; without links the result is empty.
     """
-    both = materialize(
-        links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links"
-    )
+    whole = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    both = materialize(whole.select("a", "b").union(whole.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    hubs = materialize(heavy_keys(both, ["b"]), "hubs")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
         near = (
-            both.join(labels.select(F.col("node").alias("b"), "component"), "b")
+            skew_join(both, labels.select(F.col("node").alias("b"), "component"), ["b"], heavy=hubs)
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("component").alias("near"))
         )
-        hooked = labels.join(near, "node").select(
-            "node", F.col("component").alias("was"), F.least("component", "near").alias("next")
-        )
+        hooked = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("next"))
+        hooked = materialize(hooked, "hooked")
         jump = labels.select(F.col("node").alias("next"), F.col("component").alias("far"))
-        moved = materialize(
-            hooked.join(jump, "next", "left").select("node", "was", F.least("next", F.coalesce("far", "next")).alias("component")),
-            "labels",
-        )
+        moved = skew_join(hooked, jump, ["next"], "left")
+        moved = materialize(moved.select("node", "was", F.least("next", F.coalesce("far", "next")).alias("component")), "labels")
         labels = moved.select("node", "component")
         if moved.where("component <> was").isEmpty():
             return labels

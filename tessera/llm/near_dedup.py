@@ -4,7 +4,8 @@ A text's set holds its distinct word shingles. Equal sets are collapsed first; o
 all its copies. A representative's signature has ``chunks * width`` symbols of ``SYMBOL_BITS`` bits. Two signatures that
 differ in at most ``chunks * (errors + 1) - 1`` symbols agree, by the pigeonhole principle, in some chunk up to ``errors``
 symbols. With ``errors`` = 1, each chunk is indexed once for every symbol that may be wrong, by the symbols left; such a
-pair therefore meets under at least one key. Candidates are then confirmed on the full sets.
+pair therefore meets under at least one key. Candidates are then confirmed on the full sets, which hold a 64-bit hash for
+each shingle: two texts are taken to share a shingle when its hashes agree.
 
 Buckets are never expanded into all their pairs:
 
@@ -14,6 +15,8 @@ Buckets are never expanded into all their pairs:
    are joined by their rarest shingles instead (an exact prefix filter): two sets with that much in common share one of
    the rarest (1 - threshold) of either's shingles, counted among these members, so what makes such a bucket large - a
    passage that all of them have - is the last thing looked at.
+
+A content with many copies, a hub with many near copies and a shingle that many members have are dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm import text
 from tessera.llm.components import components
 from tessera.llm.scratch import materialize
+from tessera.llm.skew import skew_join
 
 SYMBOL_BITS = 16
 _U = np.uint64
@@ -114,40 +118,46 @@ def _near(r: int, percent: int, a: str, b: str) -> Column:
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs come with both texts; rows of one hub come in a row, and its set is made once."""
+    hub, own = None, np.zeros(0, _U)
     for batch in batches:
-        sides = [text.shingle_sets(*text.column(batch.column(i)), k) for i in (2, 3)]
         good = []
-        for x, y in zip(*sides, strict=True):
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
+        hubs = batch.column(2)
+        for i, y in enumerate(text.shingle_sets(*text.column(batch.column(3)), k)):
+            if hub is None or not hubs[i].equals(hub):
+                hub = hubs[i]
+                (own,) = text.shingle_sets(*text.column(hubs.slice(i, 1)), k)
+            common = len(np.intersect1d(own, y, assume_unique=True))
+            good.append(common > 0 and 100 * common >= percent * (len(own) + len(y) - common))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-#: Up to so many ids are sent to every executor to pick their texts; more are joined by shuffle.
-BROADCAST_IDS = 20_000
-
-
 def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` of the documents in ``ids(doc_id)``."""
-    ids = materialize(ids, "ids")
-    few = ids.count() <= BROADCAST_IDS
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    """``doc_id, text`` of the documents in ``ids(doc_id)``. Null ids find nothing; all rows of a repeated id are found."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(materialize(ids, "ids"), "doc_id", "left_semi")
 
 
 def confirm(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, percent: int, r: int, symbols: int) -> DataFrame:
-    """The ``pairs(a, b)`` within r symbols whose full shingle sets have 100 * intersection >= percent * union."""
+    """The ``pairs(a, b)`` within r symbols whose full shingle sets have 100 * intersection >= percent * union.
+
+    A node may stand in many pairs as a: its signature and text go to each of its shares once, and those of b come to them.
+    Texts of any length are taken whole; an id with several texts is confirmed by any of them; no pairs give no result.
+    """
 
     def hamming(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, symbols) for i in (2, 3))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((x != y).sum(1) <= r))
 
-    side = lambda name: sketches.select(F.col("doc_id").alias(name), F.col("signature").alias(f"signature_{name}"))
-    close = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "signature_a", "signature_b")
-    close = materialize(close.mapInArrow(hamming, "a long, b long"), "close")
+    def beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+        side = lambda name: table.select(F.col("doc_id").alias(name), F.col(column).alias(f"{column}_{name}"))
+        with_b = materialize(skew_join(pairs, side("b"), ["b"]), "pairs")
+        return skew_join(with_b, side("a"), ["a"]).select("a", "b", f"{column}_a", f"{column}_b")
+
+    pairs = materialize(pairs, "pairs")
+    close = materialize(beside(pairs, sketches, "signature").mapInArrow(hamming, "a long, b long"), "close")
     texts = materialize(texts_of(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs), "texts")
-    side = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"text_{name}"))
-    both = close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+    both = beside(close, texts, "text")
     return materialize(both.mapInArrow(lambda b: _confirmed(b, k, percent), "a long, b long").distinct(), "confirmed")
 
 
@@ -201,8 +211,8 @@ def hub_pairs(buckets: DataFrame) -> DataFrame:
     weighted = buckets.select("key", "rep").join(weight, "rep")
     hub = weighted.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("top"))
     hub = hub.select("key", (-F.col("top.minus")).alias("hub"))
-    pairs = buckets.select("key", "rep").join(hub, "key").where("rep <> hub")
-    return pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    # A pair's hub is the same one in all buckets that the two share: the greater one by weight and id.
+    return buckets.select("key", "rep").join(hub, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -212,8 +222,8 @@ def near_duplicates(
 
     Two texts are linked when their shingle sets have 100 * intersection >= percent * union; component_id is the smallest
     doc_id reachable over links. A null, empty or blank text has an empty set and links with nothing, not even another
-    empty one. Ties do not arise (ids decide); rows that repeat an id are each returned and count as one node, linked by any
-    of their texts;
+    empty one. A row without an id links with nothing, has no component_id and is kept. Ties do not arise (ids decide); rows
+    that repeat an id are each returned and count as one node, linked by any of their texts;
     an empty table gives an empty result; further columns are ignored. ``chunks * width`` symbols make the signature and
     ``differ`` of them may differ, or else 2 * chunks - 1; at the defaults a pair at exactly 85 % is beyond that with a
     probability under 1e-4 and any closer one with less. Up to 2 * chunks - 1 a pair surely shares a bucket; a pair at
@@ -221,11 +231,14 @@ def near_duplicates(
     """
     symbols, r = chunks * width, 2 * chunks - 1 if differ is None else differ
     sketches = materialize(sketch(docs, k, symbols), "sketches")
-    full = sketches.where("n_shingles > 0")
-    groups = full.groupBy("n_shingles", "set_one", "set_two").agg(F.min("doc_id").alias("rep"))
-    member = materialize(full.select("doc_id", "n_shingles", "set_one", "set_two").join(groups, ["n_shingles", "set_one", "set_two"]).select("doc_id", "rep").distinct(), "members")
-    reps = full.join(groups.select(F.col("rep").alias("doc_id"), "n_shingles", "set_one", "set_two"), ["doc_id", "n_shingles", "set_one", "set_two"], "left_semi")
-    reps = materialize(reps.select("doc_id", "n_shingles", "signature").distinct(), "reps")
+    full = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    content = ["n_shingles", "set_one", "set_two"]
+    groups = full.groupBy(*content).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("signature").alias("signature"))
+    groups = materialize(groups, "groups")
+    member = skew_join(full.select("doc_id", *content), groups.select(*content, "rep"), content, counts=groups)
+    member = materialize(member.select("doc_id", "rep").distinct(), "members")
+    # An id with several texts may stand for several contents.
+    reps = groups.select(F.col("rep").alias("doc_id"), "n_shingles", "signature")
 
     buckets = index(reps, chunks, width)
     links = confirm(hub_pairs(buckets), reps, docs, k, percent, r, symbols)
@@ -241,13 +254,16 @@ def near_duplicates(
     # A shared shingle counts only if what follows it can still make up the overlap that the threshold asks for.
     rest = 1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
     enough = rest * (100 + percent) >= (F.col("x.size") + F.col("y.size")) * percent
-    also = rare.alias("x").join(rare.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & apart & enough & _near(r, percent, "x", "y"))
+    other = rare.select("shingle", F.struct("rep", "n", "bits_one", "bits_two", "component", "size", "place").alias("y"))
+    one = rare.select("shingle", F.struct("rep", "n", "bits_one", "bits_two", "component", "size", "place").alias("x"))
+    also = skew_join(one, other, ["shingle"]).where((F.col("x.rep") < F.col("y.rep")) & apart & enough & _near(r, percent, "x", "y"))
     pairs = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).unionByName(also.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
     more = confirm(pairs.distinct(), reps, docs, k, percent, r, symbols)
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
-    whole = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    out = sketches.select("doc_id", "n_shingles").join(whole.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "doc_id", "left")
+    whole = skew_join(member, found.withColumnRenamed("node", "rep"), ["rep"], "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
+    named = whole.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    out = sketches.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -5,6 +5,7 @@ import re
 
 from tessera.llm.components import components
 from tessera.llm.near_dedup import near_duplicates, rarest
+from tessera.llm.skew import heavy_keys, skew_join
 
 DOC = "doc_id long, text string"
 
@@ -80,3 +81,43 @@ def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(100, 140)] + [(1, i) for i in range(2, 30)]
     got = dict(map(tuple, components(spark.createDataFrame(chain, "a long, b long")).collect()))
     assert got == {**{i: 100 for i in range(100, 141)}, **{i: 1 for i in range(1, 30)}}
+
+
+def test_rows_without_an_id_are_kept(spark):
+    docs = [(None, "a b c d e f"), (None, None), (3, "a b c d e f"), (1, "a b c d e f"), (2, "")]
+    got = [tuple(r) for r in near_duplicates(spark.createDataFrame(docs, DOC)).select("doc_id", "n_shingles", "component_id", "kept").collect()]
+    assert sorted(got, key=repr) == sorted([(None, 2, None, True), (None, 0, None, True), (3, 2, 1, False), (1, 2, 1, True), (2, 0, 2, True)], key=repr)
+
+
+def test_heavy_keys_are_dealt_and_no_row_is_lost(spark):
+    left = spark.createDataFrame([(7 if i % 3 == 0 else i, i) for i in range(600)] + [(None, 1)], "k long, x long")
+    right = spark.createDataFrame([(k, str(k)) for k in range(0, 600, 2)] + [(7, "7"), (7, "again")], "k long, y string")
+    (heavy,) = heavy_keys(left, ["k"]).collect()
+    assert heavy["k"] == 7 and heavy["_shares"] >= 3
+    for how in ("inner", "left"):
+        got, want = skew_join(left, right, ["k"], how), left.join(right, "k", how)
+        assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_many_copies_and_a_hub(spark):
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+    docs = [(i, " ".join(base)) for i in range(50, 250)]
+    for i in range(300, 420):
+        copy = list(base)
+        copy[rnd.randrange(200)] = "changed"
+        docs.append((i, " ".join(copy)))
+    assert rows(near_duplicates(spark.createDataFrame(docs, DOC))) == brute(docs)
+
+
+def test_links_at_the_threshold_are_found(spark):
+    """Pairs of 200-shingle sets with exactly 85 % and more in common; at 85 % one in ten thousand may be missed."""
+    rnd, docs, pair = random.Random(6), [], 0
+    for percent in (85, 87, 90):
+        for _ in range(100):
+            # a text of u words and its copy without the last ones: n of u shingles in common
+            words = [f"x{rnd.randrange(10**9)}" for _ in range(204)]
+            docs += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(words[: 2 * percent + 4]))]
+            pair += 1
+    got = rows(near_duplicates(spark.createDataFrame(docs, DOC)))
+    assert sum(not r[3] for r in got) >= pair - 1 and len(got) == 2 * pair
