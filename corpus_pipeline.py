@@ -26,11 +26,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id.
 
     Near copies share 80 % of their five-word shingles or more. 28 of 72 symbols may differ, which a pair at exactly 80 %
-    exceeds with a probability under 1e-4.
+    exceeds with a probability under 1e-4. Rows without an id stay, and so do all rows of an id that stays.
     """
-    dropped = near_duplicates(docs, k=5, percent=80, differ=28).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
+    dropped = near_duplicates(docs, k=5, percent=80, differ=28).where(~F.col("kept")).select("doc_id").distinct()
     # Sorted by id at every size: the dropped ids grow with the corpus and are never broadcast.
-    return docs.join(dropped.hint("merge"), F.col("doc_id") == F.col("_dropped"), "left_anti")
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
