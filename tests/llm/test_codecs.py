@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import chat_format, fingerprint, packing, piece_codec, queries, url_filter
+from tessera.llm.scratch import materialize
 
 DATA = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string"
@@ -186,18 +187,47 @@ def test_chats_come_back_from_their_tokens(spark):
         assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(turns), digest, len(learned), hashlib.sha256(learned.encode()).hexdigest())
         assert r["formatted_chars"] == sum(len("".join(chat_format.turn_parts(*t))) for t in turns)
     for r in blocks.collect():
+        base = sum(a["tokens"] for a in r["above"])
         for n in r["nodes"]:
-            before = sum(a["end"] - a["start"] for a in n["attends"])
+            before = base + sum(a["end"] - a["start"] for a in n["attends"])
             assert r["position_ids"][n["start"] : n["end"]] == list(range(before, before + n["end"] - n["start"]))
     assert chat_format.blocks(table.limit(0), *CHAT).collect() == []
 
 
+CONVERSATION = "conv_id long, turn long, role string, text string"
+
+
 def test_a_shared_turn_is_emitted_once(spark):
     rows = [(i, t, "user", "the same opening" if t == 0 else f"reply {i}") for i in range(5) for t in (0, 1)]
-    (block,) = chat_format.blocks(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), *CHAT).collect()
+    (block,) = chat_format.blocks(spark.createDataFrame(rows, CONVERSATION), *CHAT).collect()
     assert len(block["nodes"]) == 6 and [n["parent"] for n in block["nodes"]] == [-1, 0, 0, 0, 0, 0]
 
 
+def test_a_hot_turn_is_emitted_once_and_its_conversations_are_spread(spark):
+    """A first turn with several MiB below it, a second one too, one whole conversation many times over, and rows without an id."""
+    opening, second = "common opening words " * 3500, "common second words " * 500
+    rows = []
+    for i in range(60):
+        rows += [(i, 0, "user", opening), (i, 1, "assistant", f"answer {i % 50} " * 40)]
+    for i in range(100, 150):
+        rows += [(i, 0, "user", opening), (i, 1, "assistant", second)] + [(i, 2, "user", f"more {i}")] * (i % 5 > 0)
+    rows += [(None, 0, "user", "no id"), (None, 1, "assistant", "nor here"), (7000, None, None, None)]
+    blocks = materialize(chat_format.blocks(spark.createDataFrame(rows, CONVERSATION), *CHAT), "test")
+    found = blocks.collect()
+    assert sum(r["conversations"] == [] for r in found) == 2  # the trunks
+    assert sum(len(r["nodes"]) for r in found) == 2 + 50 + 40 + 2 + 1  # one node for each distinct prefix
+    owners = [r for r in found if r["conversations"] and r["above"]]
+    assert len(owners) > 4 and max(len(r["conversations"]) for r in owners) < 60
+    got = {}
+    for r in chat_format.read_back(blocks, *CHAT).collect():
+        got.setdefault(r["conv_id"], []).append(r)
+    assert sorted(len(v) for v in got.values())[-2:] == [1, 2] and len(got[None]) == 2
+    for conv in {r[0] for r in rows} - {None}:
+        turns = [(r or "", t or "") for c, _, r, t in rows if c == conv]
+        digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert (got[conv][0]["n_turns"], got[conv][0]["turns_sha256"]) == (len(turns), digest)
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme/x", "http://Sub.EXAMPLE.org/es/1", "x://example.org/en/12?q", "x://example.org/en/2#f", "x://badexample.org/es/1", "x://example.com/de/", "x://a.example.com/fr/x", "x://net", "x://org", "x://h.net/a/b/c/d?e", "x://h.net/a/b/c/d?e"]
     rows = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("verdict", F.lit(1)), queries.URL_RULES).collect()
