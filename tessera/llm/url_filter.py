@@ -1,10 +1,14 @@
 """URL filters by rules and, beyond them, by a path-template tree. DataFrame operations only.
 
-The tree has, for every host, the first and second path segment and the rest as levels. A segment with a digit is
-variable and becomes a wildcard; so do all children of a node with more than ``max_children`` of them. Among a node's
-branches, those whose share of blocked labelled urls is statistically similar to the node's own (within ``z`` standard
-errors, or without labels) are merged into its wildcard branch. A template is rejected when its share of blocked labelled
-urls, smoothed by the overall share, reaches ``reject``. Labels are the verdicts of the rules.
+The tree has a node for every host and, below it, a level for every path segment. A segment with a digit is variable and
+becomes a wildcard at once. Level by level, the branches of a node are compared by their shares of blocked labelled urls: a
+branch whose share is more than z standard errors from the node's keeps its name, all others are similar (or have no
+labels) and merge into the wildcard branch. Among many branches z grows to sqrt(2 ln branches), so that chance sets none
+apart. A template is rejected when its share of blocked labelled urls, smoothed by the overall share, reaches ``reject``.
+Labels are the verdicts of the rules, and of further known urls if there are any.
+
+Leaves are the distinct paths of a host; each level is one small query over them that is written before the next, down to
+the last level at which a node has labels and more than one leaf. Below that all segments are wildcards.
 """
 
 from __future__ import annotations
@@ -12,8 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.scratch import materialize
+from tessera.llm.skew import skew_join
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LEVELS = ("first", "second", "rest")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -33,23 +39,53 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, verdict
 
 
-def _generalised(nodes: DataFrame, above: list[str], child: str, max_children: int, z: float) -> DataFrame:
-    """``nodes`` with the level ``child`` below the levels ``above`` replaced by its wildcard where it is variable or similar."""
-    branch = nodes.groupBy(*above, child).agg(F.sum("labelled").alias("labelled_b"), F.sum("blocked").alias("blocked_b"))
-    node = branch.groupBy(*above).agg(F.count("*").alias("children"), F.sum("labelled_b").alias("labelled_n"), F.sum("blocked_b").alias("blocked_n"))
-    share = F.try_divide("blocked_n", "labelled_n")
-    apart = F.abs(F.try_divide("blocked_b", "labelled_b") - share) > z * F.sqrt(F.try_divide(share * (1 - share), "labelled_b"))
-    own = (F.col("children") <= max_children) & (F.col("labelled_b") > 0) & apart
-    named = branch.join(node, above).select(*above, child, F.when(own, F.col(child)).otherwise(F.when(F.col(child) == "", "").otherwise("*")).alias("_to"))
-    return nodes.join(named, [*above, child]).drop(child).withColumnRenamed("_to", child)
+def segments(path: Column) -> Column:
+    """The path's segments that aren't empty, those with a digit as wildcards."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.when(s.rlike("[0-9]"), "*").otherwise(s))
+
+
+def templates(leaves: DataFrame, z: float) -> DataFrame:
+    """``leaves(host, segments, labelled, blocked)``, a row for each path of a host, with ``template``: the path generalised.
+
+    Rows without labels anywhere below their host end in wildcards; an empty table gives an empty result; further columns
+    pass through.
+    """
+    todo = leaves.withColumn("template", F.lit(""))
+    done, level = [], 0
+    while True:
+        segment = F.coalesce(F.get("segments", F.lit(level)), F.lit(""))
+        todo = materialize(todo.withColumn("segment", segment), "level")
+        branch = todo.groupBy("host", "template", "segment").agg(F.sum("labelled").alias("labelled_b"), F.sum("blocked").alias("blocked_b"), F.count("*").alias("leaves_b"))
+        branch = materialize(branch, "branches")
+        node = branch.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("labelled_b").alias("labelled_n"), F.sum("blocked_b").alias("blocked_n"), F.sum("leaves_b").alias("leaves_n"))
+        share = F.try_divide("blocked_n", "labelled_n")
+        error = F.sqrt(F.try_divide(share * (1 - share), "labelled_b"))
+        apart = F.abs(F.try_divide("blocked_b", "labelled_b") - share) > F.greatest(F.lit(z), F.sqrt(2 * F.ln("children"))) * error
+        goes = F.when(F.col("segment") == "", "").when((F.col("labelled_b") > 0) & apart, F.concat(F.lit("/"), "segment")).otherwise("/*")
+        settled = (F.col("labelled_n") == 0) | (F.col("leaves_n") == 1)
+        named = skew_join(branch, node, ["host", "template"]).select("host", "template", "segment", goes.alias("goes"), settled.alias("settled"))
+        moved = skew_join(todo, named, ["host", "template", "segment"])
+        left = F.size("segments") - F.lit(level)
+        ends = F.col("settled") | (left <= 1)
+        rest = F.when(F.col("settled"), F.repeat(F.lit("/*"), F.greatest(left, F.lit(0)))).otherwise(F.col("goes"))
+        moved = materialize(moved.select(*leaves.columns, F.concat("template", rest).alias("template"), ends.alias("_ends")), "level")
+        done.append(moved.where("_ends").drop("_ends"))
+        todo, level = moved.where("NOT _ends").drop("_ends"), level + 1
+        if todo.isEmpty():
+            break
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    return found
 
 
 def judge(
-    pages: DataFrame, rules: list[tuple[str, str]], *, max_children: int = 64, z: float = 2.0, smoothing: float = 10.0, reject: float = 0.7
+    pages: DataFrame, rules: list[tuple[str, str]], *, known: DataFrame | None = None, z: float = 2.0, smoothing: float = 10.0, reject: float = 0.7
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict, template`` of every row of ``pages(page_id, url)``.
 
-    ``rules`` are ("host/path", "allow" or "block") in number small enough for one expression. A null url and one without
+    ``rules`` are ("host/path", "allow" or "block") in number small enough for one expression; ``known(url, verdict)`` are
+    labelled urls beyond those that the rules decide. A null url and one without
     ``://`` have empty host and path, fit no rule and share the template of the empty host; a host without any label is
     judged by the overall share. Without labels at all every template passes. Repeated rows are each judged and each
     counted; an empty table gives an empty result; further columns are ignored.
@@ -57,54 +93,49 @@ def judge(
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
-    segments = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), lambda s: F.when(s.rlike("[0-9]"), "*").otherwise(s))
-    rows = rows.select("*", rule.alias("rule"), says.alias("says"), segments.alias("_s"))
-    at = lambda i: F.coalesce(F.get("_s", F.lit(i)), F.lit(""))
-    rows = rows.select("page_id", "host", "path", "rule", "says", at(0).alias("first"), at(1).alias("second"), F.array_join(F.slice("_s", 3, F.greatest(F.size("_s"), F.lit(1))), "/").alias("rest"))
-    leaf = ["host", *LEVELS]
-    leaves = rows.groupBy(*leaf).agg(F.count("says").alias("labelled"), F.count(F.when(F.col("says") == "block", 1)).alias("blocked"))
-    nodes = leaves.select(*(F.col(c).alias(f"_{c}") for c in leaf), *leaf, "labelled", "blocked")
-    for i, child in enumerate(LEVELS):
-        nodes = _generalised(nodes, ["host", *LEVELS[:i]], child, max_children, z)
-    overall = leaves.agg(F.try_divide(F.sum("blocked"), F.sum("labelled")).alias("share")).scalar()
-    template = nodes.groupBy(*leaf).agg(F.sum("labelled").alias("labelled_t"), F.sum("blocked").alias("blocked_t"))
-    purity = (F.col("blocked_t") + smoothing * F.coalesce(overall, F.lit(0.0))) / (F.col("labelled_t") + smoothing)
-    template = template.select(*leaf, F.when(purity >= reject, "block").otherwise("allow").alias("verdict"))
-    named = nodes.join(template, leaf).select(*(F.col(f"_{c}").alias(c) for c in leaf), F.concat_ws("/", *leaf).alias("template"), "verdict")
-    found = rows.join(named, leaf, "left")
+    rows = materialize(rows.select("*", rule.alias("rule"), says.alias("says"), segments(F.col("path")).alias("segments")), "urls")
+    labelled = rows.select("host", "segments", "says")
+    if known is not None:
+        labelled = labelled.unionByName(known.select(host.alias("host"), segments(path).alias("segments"), F.col("verdict").alias("says")))
+    counts = [F.count("*").alias("n"), F.count("says").alias("labelled"), F.count(F.when(F.col("says") == "block", 1)).alias("blocked")]
+    leaves = materialize(labelled.groupBy("host", "segments").agg(*counts), "leaves")
+    total = leaves.agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")).first()
+    overall = (total["blocked"] or 0) / total["labelled"] if total["labelled"] else 0.0
+
+    leaves = materialize(templates(leaves, z), "templates")
+    whole = leaves.groupBy("host", "template").agg(F.sum("labelled").alias("labelled_t"), F.sum("blocked").alias("blocked_t"))
+    purity = (F.col("blocked_t") + F.lit(smoothing * overall)) / (F.col("labelled_t") + F.lit(smoothing))
+    whole = whole.select("host", "template", F.when(purity >= reject, "block").otherwise("allow").alias("verdict"))
+    named = skew_join(leaves, whole, ["host", "template"]).select("host", "segments", F.concat("host", "template").alias("template"), "verdict")
+    found = skew_join(rows, named, ["host", "segments"], counts=leaves)
     return found.select("page_id", "host", "path", "rule", F.coalesce("says", "verdict").alias("verdict"), "template")
 
 
-def oracle_sql(rules: list[tuple[str, str]], *, max_children: int = 64, z: float = 2.0, smoothing: float = 10.0, reject: float = 0.7) -> str:
-    """DuckDB SQL for ``judge`` over the view ``pages``."""
+def oracle_sql(rules: list[tuple[str, str]], *, levels: int = 4, z: float = 2.0, smoothing: float = 10.0, reject: float = 0.7) -> str:
+    """DuckDB SQL for ``judge`` over the view ``pages``, for paths of up to ``levels`` segments."""
     cases = {True: [], False: []}
     for text, says in sorted(rules, key=lambda r: (len(r[0]), r[1] == "block", [-ord(c) for c in r[0]]), reverse=True):
         name, _, rest = text.partition("/")
         for verdict, out in cases.items():
             out.append(f"WHEN ends_with('.' || host, '.{name}') AND starts_with(path, '/{rest}') THEN '{says if verdict else text}'")
-    steps, source, above = [], "leaves_named", ["host"]
-    for child in LEVELS:
-        keys, joined = ", ".join(above), " AND ".join(f"b.{c} = n.{c}" for c in above)
+    steps = []
+    for i in range(1, levels + 1):
         steps.append(
-            f"""branch_{child} AS (SELECT {keys}, {child}, sum(labelled) AS lb, sum(blocked) AS bb FROM {source} GROUP BY ALL),
-node_{child} AS (SELECT {keys}, count(*) AS children, sum(lb) AS ln, sum(bb) AS bn FROM branch_{child} GROUP BY ALL),
-to_{child} AS (SELECT b.*, CASE WHEN children <= {max_children} AND lb > 0 AND abs(bb / lb - bn / ln) > {z} * sqrt((bn / ln) * (1 - bn / ln) / lb) THEN {child}
-  WHEN {child} = '' THEN '' ELSE '*' END AS goes FROM branch_{child} b JOIN node_{child} n ON {joined}),
-at_{child} AS (SELECT s.* REPLACE (t.goes AS {child}) FROM {source} s JOIN to_{child} t ON {" AND ".join(f"s.{c} = t.{c}" for c in [*above, child])})"""
+            f"""branch_{i} AS (SELECT host, template, coalesce(s[{i}], '') AS segment, sum(labelled) AS lb, sum(blocked) AS bb FROM at_{i - 1} GROUP BY ALL),
+node_{i} AS (SELECT host, template, count(*) AS children, sum(lb) AS ln, sum(bb) AS bn FROM branch_{i} GROUP BY ALL),
+to_{i} AS (SELECT b.*, CASE WHEN segment = '' THEN '' WHEN lb > 0 AND abs(bb / lb - bn / ln) > greatest({z}, sqrt(2 * ln(children))) * sqrt((bn / ln) * (1 - bn / ln) / lb)
+  THEN '/' || segment ELSE '/*' END AS goes FROM branch_{i} b JOIN node_{i} n ON b.host = n.host AND b.template = n.template),
+at_{i} AS (SELECT l.* REPLACE (l.template || t.goes AS template) FROM at_{i - 1} l JOIN to_{i} t ON l.host = t.host AND l.template = t.template AND coalesce(l.s[{i}], '') = t.segment)"""
         )
-        source, above = f"at_{child}", [*above, child]
     return f"""
 WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest_of FROM pages),
 named AS (SELECT page_id, translate(regexp_extract(rest_of, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest_of, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
 ruled AS (SELECT *, CASE {" ".join(cases[False])} END AS rule, CASE {" ".join(cases[True])} END AS says,
   list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' ELSE x END) AS s FROM named),
-pathed AS (SELECT page_id, host, path, rule, says, coalesce(s[1], '') AS first, coalesce(s[2], '') AS second, coalesce(array_to_string(s[3:], '/'), '') AS rest FROM ruled),
-leaves AS (SELECT host, first, second, rest, count(says) AS labelled, count(CASE WHEN says = 'block' THEN 1 END) AS blocked FROM pathed GROUP BY ALL),
-leaves_named AS (SELECT host AS h0, first AS f0, second AS s0, rest AS r0, * FROM leaves),
+at_0 AS (SELECT host, s, count(says) AS labelled, count(CASE WHEN says = 'block' THEN 1 END) AS blocked, '' AS template FROM ruled GROUP BY host, s),
 {", ".join(steps)},
-templates AS (SELECT host, first, second, rest, CASE WHEN (sum(blocked) + {smoothing} * coalesce((SELECT sum(blocked) / sum(labelled) FROM leaves), 0)) / (sum(labelled) + {smoothing}) >= {reject} THEN 'block' ELSE 'allow' END AS verdict
-  FROM at_rest GROUP BY ALL)
-SELECT p.page_id, p.host, p.path, p.rule, coalesce(p.says, t.verdict) AS verdict, concat_ws('/', t.host, t.first, t.second, t.rest) AS template
-FROM pathed p JOIN at_rest a ON p.host = a.h0 AND p.first = a.f0 AND p.second = a.s0 AND p.rest = a.r0
-JOIN templates t ON a.host = t.host AND a.first = t.first AND a.second = t.second AND a.rest = t.rest
+judged AS (SELECT host, template, CASE WHEN (sum(blocked) + {smoothing} * coalesce((SELECT sum(blocked) / sum(labelled) FROM at_0), 0)) / (sum(labelled) + {smoothing}) >= {reject} THEN 'block' ELSE 'allow' END AS verdict
+  FROM at_{levels} GROUP BY ALL)
+SELECT p.page_id, p.host, p.path, p.rule, coalesce(p.says, j.verdict) AS verdict, p.host || a.template AS template
+FROM ruled p JOIN at_{levels} a ON p.host = a.host AND p.s = a.s JOIN judged j ON a.host = j.host AND a.template = j.template
 """

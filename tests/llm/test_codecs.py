@@ -1,4 +1,4 @@
-"""Fingerprints, piece codec, packing, chat trees and url templates: round trips and brute force."""
+"""Fingerprints, piece codec, packing and chat trees: round trips and brute force."""
 
 import hashlib
 import random
@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, fingerprint, packing, piece_codec, queries, url_filter
+from tessera.llm import chat_format, fingerprint, packing, piece_codec
 from tessera.llm.scratch import materialize
 
 DATA = "/root/testdata/sf0.001"
@@ -226,26 +226,3 @@ def test_a_hot_turn_is_emitted_once_and_its_conversations_are_spread(spark):
         turns = [(r or "", t or "") for c, _, r, t in rows if c == conv]
         digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         assert (got[conv][0]["n_turns"], got[conv][0]["turns_sha256"]) == (len(turns), digest)
-
-
-def test_urls(spark):
-    urls = [None, "", "no scheme/x", "http://Sub.EXAMPLE.org/es/1", "x://example.org/en/12?q", "x://example.org/en/2#f", "x://badexample.org/es/1", "x://example.com/de/", "x://a.example.com/fr/x", "x://net", "x://org", "x://h.net/a/b/c/d?e", "x://h.net/a/b/c/d?e"]
-    rows = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("verdict", F.lit(1)), queries.URL_RULES).collect()
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows}
-    assert got[0][:3] == got[1][:3] == got[2][:3] == ("", "", None)
-    assert got[3] == ("sub.example.org", "/es/1", "example.org/es/", "block") and got[4][2:] == ("example.org/en/1", "block") and got[5][2:] == ("org/", "allow")
-    assert got[6][2:] == ("org/", "allow") and got[7][2:] == ("com/de/", "block") and got[8][2:] == ("com/fr/", "allow")
-    assert got[9] == ("net", "", None, "allow") and got[10][2] is None and got[11] == ("h.net", "/a/b/c/d", None, "allow")
-    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), queries.URL_RULES).collect() == []
-
-
-def test_templates_equal_sql(spark):
-    import duckdb
-
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{DATA}/pages.parquet' UNION ALL SELECT 1000 + i, 'x://h.example.com/' || CASE WHEN i % 4 = 0 THEN 'de/' WHEN i % 4 = 1 THEN 'fr/' ELSE 'en/' END || 'p' || chr(97 + (i % 20)::INT) || '/' || i, '' FROM range(300) t(i)")
-    want = con.sql(url_filter.oracle_sql(queries.URL_RULES))
-    pages = spark.createDataFrame(con.sql("SELECT page_id, url FROM pages").df())
-    got = url_filter.judge(pages, queries.URL_RULES).select(want.columns).collect()
-    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
-    assert {r["verdict"] for r in got if r["rule"] is None} == {"allow"} or any(r["verdict"] == "block" for r in got if r["rule"] is None)
