@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DataType, NumericType, StringType
 
 VOID, PREALLOC, LIVE = 0, 1, 2
 OK, NOT_FOUND, IS_PREALLOC, NOT_PREALLOC, MISMATCH, OCCUPIED = "OK", "NOT_FOUND", "PREALLOC", "NOT_PREALLOC", "MISMATCH", "OCCUPIED"
+NULL_VALUE, TOO_LARGE = "NULL_VALUE", "TOO_LARGE"
 #: Recids up to this one are set aside by convention; allocation starts at 1 and does not enforce it.
 MAX_RESERVED_RECID = 255
 
@@ -19,6 +21,20 @@ class RecordError(Exception):
         self.status, self.recid = status, recid
 
 
+#: Bytes of the fixed-width types.
+_WIDTH = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "boolean": 1, "date": 8, "timestamp": 8, "timestamp_ntz": 8}
+
+
+def record_size(value: Column, kind: DataType) -> Column:
+    """Bytes of a record: of text as UTF-8, of fixed-width types their width, of decimals their text, of nested values their JSON."""
+    name = kind.simpleString()
+    if name in _WIDTH:
+        return F.when(value.isNotNull(), _WIDTH[name])
+    if isinstance(kind, (BinaryType, StringType)):
+        return F.octet_length(value)
+    return F.octet_length(value.cast("string") if isinstance(kind, NumericType) else F.to_json(value))
+
+
 def as_state(rows: DataFrame, recid: str, payload: str) -> DataFrame:
     """All rows as live records."""
     return rows.select(F.col(recid).cast("long").alias("recid"), F.lit(LIVE).alias("state"), F.col(payload).alias("payload"))
