@@ -1,14 +1,18 @@
 """Commit and reopen: Parquet snapshots with a manifest, and the flat record file for exchange.
 
-A snapshot is written to its own folder; the manifest that names it is the last thing written, so a reader sees a whole
-snapshot or the one before. Both go through the session's file system, never through local paths.
+A snapshot is written to a folder of its own, under a name that no other commit has; then its manifest is written aside and
+moved to its number, which fails if another commit took that number first. So a reader sees a whole snapshot or the one
+before, and two committers can't harm each other's. All of it goes through the session's file system, never through local
+paths.
 """
 
 from __future__ import annotations
 
 import json
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,26 +35,88 @@ def _checksum(state: DataFrame) -> tuple[int, int]:
     return row["n"], row["x"]
 
 
+class CommitConflict(Exception):
+    """Another commit published the same number first; what was written is removed, and the store may be committed again."""
+
+
+def _files(spark: SparkSession, path: str):  # noqa: ANN202
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
+
+
+def _publish(spark: SparkSession, path: str, version: int, text: str) -> None:
+    """The manifest, written aside and renamed without overwriting."""
+    fs, new = _files(spark, path)
+    aside, to = new(f"{path}/.manifest-{uuid.uuid4().hex}"), new(f"{path}/manifest-{version}")
+    out = fs.create(aside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    never = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    never[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        context.rename(aside, to, never)
+    except Exception as error:
+        fs.delete(aside, False)
+        if fs.exists(to):
+            raise CommitConflict(f"manifest {version} of {path} is there already") from error
+        raise
+
+
 def commit(store: RecordStore, path: str) -> int:
-    """Publish a snapshot under ``path``; its number. What was written without a manifest is never read: that is rollback."""
+    """Publish a snapshot under ``path``; its number. What was written without a manifest is never read: see ``rollback``.
+
+    A store whose records take more bytes than its ``size_limit`` is refused, and nothing is published.
+    """
     spark = store.state.sparkSession
     version = (manifests(spark, path) or [(0, "")])[-1][0] + 1
-    folder = f"{path}/snapshot-{version}"
-    store.state.repartitionByRange("recid").sortWithinPartitions("recid").write.mode("overwrite").parquet(folder)
-    rows, checksum = _checksum(spark.read.parquet(folder))
-    text = json.dumps({"version": version, "rows": rows, "checksum": checksum, "max_recid": store.highest(), "max_record_size": store.max_record_size})
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/manifest-{version}")
+    folder = f"snapshot-{uuid.uuid4().hex}"
+    store.state.repartitionByRange("recid").sortWithinPartitions("recid").write.parquet(f"{path}/{folder}")
+    written = spark.read.parquet(f"{path}/{folder}")
+    rows, checksum = _checksum(written)
+    fs, new = _files(spark, path)
+    try:
+        if store.size_limit is not None and (held := replace(store, state=written).summary().first()["bytes"]) > store.size_limit:
+            raise ValueError(f"the records take {held} bytes, the limit is {store.size_limit}")
+        text = json.dumps({"version": version, "folder": folder, "rows": rows, "checksum": checksum, "max_recid": store.highest(), "max_record_size": store.max_record_size, "size_limit": store.size_limit})
+        _publish(spark, path, version, text)
+    except Exception:
+        fs.delete(new(f"{path}/{folder}"), True)
+        raise
     return version
 
 
-def reopen(spark: SparkSession, path: str, version: int | None = None) -> RecordStore:
-    """The last published store, or an earlier one; an error if its rows aren't those that were committed."""
+def _manifest(spark: SparkSession, place: str) -> dict:
+    return json.loads("".join(r[0] for r in spark.read.text(place).collect()))
+
+
+def reopen(spark: SparkSession, path: str, version: int | None = None, *, check: bool = True) -> RecordStore:
+    """The last published store, or an earlier one; an error if its rows aren't those that were committed (``check`` reads them).
+
+    Recids that are void in it are free for the next puts.
+    """
     named = dict(manifests(spark, path))
-    manifest = json.loads(spark.read.text(named[version or max(named)]).first()[0])
-    state = spark.read.parquet(f"{path}/snapshot-{manifest['version']}")
-    if _checksum(state) != (manifest["rows"], manifest["checksum"]):
+    manifest = _manifest(spark, named[version or max(named)])
+    state = spark.read.parquet(f"{path}/{manifest['folder']}")
+    if check and _checksum(state) != (manifest["rows"], manifest["checksum"]):
         raise ValueError("the snapshot is not what was committed")
-    return RecordStore(state, manifest["max_recid"], manifest["max_record_size"])
+    store = RecordStore(state, manifest["max_recid"], manifest["max_record_size"], size_limit=manifest["size_limit"])
+    return replace(store, freed=store.free_recids()) if manifest["rows"] < manifest["max_recid"] else store
+
+
+def rollback(spark: SparkSession, path: str) -> list[str]:
+    """Remove what commits that never published left under ``path``; the names removed. Not while another commit is under way."""
+    fs, new = _files(spark, path)
+    if not fs.exists(new(path)):
+        return []
+    published = {_manifest(spark, place)["folder"] for _, place in manifests(spark, path)}
+    removed = []
+    for entry in fs.listStatus(new(path)):
+        name = entry.getPath().getName()
+        if name.startswith(".manifest-") or name.startswith("snapshot-") and name not in published:
+            fs.delete(entry.getPath(), True)
+            removed.append(name)
+    return sorted(removed)
 
 
 #: The flat file: a count, then for each record its recid, its size (-1: preallocated) and its bytes, all big-endian.
