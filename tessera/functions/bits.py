@@ -200,6 +200,15 @@ def size_class(n: Column) -> Column:
     return round_up(_long(n), 16)
 
 
+#: Fixed values of linked records: the most bytes of one chunk, and the bytes of a pointer to the next.
+MAX_CHUNK, POINTER = 65535, 8
+
+
+def linked_chunks(n: Column) -> Column:
+    """Chunks that a record of n bytes is linked from: up to ``MAX_CHUNK`` bytes one, else each but the last holds a pointer."""
+    return (1 + F.when(n > MAX_CHUNK, F.floor((n - 1) / (MAX_CHUNK - POINTER))).otherwise(0)).cast("long")
+
+
 def header_checksum(value: Column, offset: Column) -> Column:
     """Aggregate: all slots' values and hashes of (value | offset), or-ed together."""
     return F.bit_or(value.bitwiseOR(_long(spread_long_hash(value.bitwiseOR(offset)))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.bits import INT_MULTIPLIER, add32, int_hash, long_hash, mul32, wrap32
@@ -12,36 +12,81 @@ def _lit(x: Column | int) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def _checked(ok: Column, value: Column, what: str) -> Column:
+    """``value``, or an error where ``ok`` is false; a null list or position gives what the expression gives."""
+    return F.when(F.coalesce(~ok, F.lit(False)), F.raise_error(F.lit(f"position out of bounds: {what}"))).otherwise(value)
+
+
+def in_bounds(a: Column, i: Column | int) -> Column:
+    """Whether the list has an element at i."""
+    return (_lit(i) >= 0) & (_lit(i) < F.size(a))
+
+
+def _between(a: Column, start: Column | int, end: Column | int) -> Column:
+    return (_lit(start) >= 0) & (_lit(start) <= _lit(end)) & (_lit(end) <= F.size(a))
+
+
 def get(a: Column, i: Column | int) -> Column:
     """The element at i; an error outside the list."""
-    return F.element_at(a, _lit(i) + 1)
+    return _checked(in_bounds(a, i), F.get(a, _lit(i)), "get")
 
 
 def insert(a: Column, i: Column | int, x: Column) -> Column:
-    """x put before position i, 0 <= i <= size."""
-    return F.concat(F.slice(a, 1, _lit(i)), F.array(x), F.slice(a, _lit(i) + 1, F.size(a)))
+    """x put before position i; an error unless 0 <= i <= size."""
+    return insert_all(a, i, F.array(x))
 
 
 def insert_all(a: Column, i: Column | int, b: Column) -> Column:
-    return F.concat(F.slice(a, 1, _lit(i)), b, F.slice(a, _lit(i) + 1, F.size(a)))
+    """All elements of b put before position i; an error unless 0 <= i <= size."""
+    return _checked(_between(a, 0, i), F.concat(F.slice(a, 1, _lit(i)), b, F.slice(a, _lit(i) + 1, F.size(a))), "insert")
 
 
 def replace(a: Column, i: Column | int, x: Column) -> Column:
-    return F.transform(a, lambda y, j: F.when(j == _lit(i), x).otherwise(y))
+    """The list with x at i; an error outside the list."""
+    return _checked(in_bounds(a, i), F.transform(a, lambda y, j: F.when(j == _lit(i), x).otherwise(y)), "set")
+
+
+def replaced(a: Column, i: Column | int, x: Column) -> Column:
+    """``list, old``: the list with x at i, and what was there; an error outside the list."""
+    return F.struct(replace(a, i, x).alias("list"), get(a, i).alias("old"))
 
 
 def remove(a: Column, i: Column | int) -> Column:
-    """The list without the element at i."""
-    return F.concat(F.slice(a, 1, _lit(i)), F.slice(a, _lit(i) + 2, F.size(a)))
+    """The list without the element at i; an error outside the list."""
+    return _checked(in_bounds(a, i), F.concat(F.slice(a, 1, _lit(i)), F.slice(a, _lit(i) + 2, F.size(a))), "remove")
+
+
+def removed(a: Column, i: Column | int) -> Column:
+    """``list, old``: the list without the element at i, and that element; an error outside the list."""
+    return F.struct(remove(a, i).alias("list"), get(a, i).alias("old"))
 
 
 def remove_range(a: Column, start: Column | int, end: Column | int) -> Column:
-    return F.concat(F.slice(a, 1, _lit(start)), F.slice(a, _lit(end) + 1, F.size(a)))
+    """Without [start, end); an error unless 0 <= start <= end <= size."""
+    return _checked(_between(a, start, end), F.concat(F.slice(a, 1, _lit(start)), F.slice(a, _lit(end) + 1, F.size(a))), "remove range")
+
+
+def clear(a: Column) -> Column:
+    return F.slice(a, 1, 0)
+
+
+def is_empty(a: Column) -> Column:
+    return F.size(a) == 0
 
 
 def sub_list(a: Column, start: Column | int, end: Column | int) -> Column:
-    """[start, end)."""
-    return F.slice(a, _lit(start) + 1, _lit(end) - _lit(start))
+    """[start, end); an error unless 0 <= start <= end <= size."""
+    return _checked(_between(a, start, end), F.slice(a, _lit(start) + 1, _lit(end) - _lit(start)), "sub-list")
+
+
+def entries(lists: DataFrame, key: str, a: str) -> DataFrame:
+    """``key, pos, value``: one row for each element of the list column ``a``, as lists of entries are kept."""
+    return lists.select(key, F.posexplode(a).alias("pos", "value"))
+
+
+def from_entries(rows: DataFrame, key: str) -> DataFrame:
+    """``key, a``: the lists of ``entries``, by ``pos``; a list without entries has no row."""
+    return rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda e: e["value"]).alias("a"))
 
 
 def index_of(a: Column, x: Column) -> Column:
@@ -79,10 +124,28 @@ def delta_encode(a: Column) -> Column:
     return F.transform(a, lambda x, i: F.when(i == 0, x).otherwise(x - F.get(a, i - 1)))
 
 
+def _scan(a: Column, zero: Column, step, empty: Column, block: int = 256) -> Column:  # noqa: ANN001
+    """``step(state, x)`` over the elements, as (state, result) structs: the array of results.
+
+    Results are gathered in blocks and blocks in a list, so appending copies about ``block`` elements each, not all before.
+    """
+    at = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(a) / block).cast("int") - 1, F.lit(0)))
+    blocks = F.transform(at, lambda i: F.slice(a, i * block + 1, F.lit(block)))
+
+    def one(s: Column, x: Column) -> Column:
+        return F.transform(F.array(step(s["state"], x)), lambda r: F.struct(r["state"].alias("state"), F.array_append(s["out"], r["result"]).alias("out")))[0]
+
+    def whole(s: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(s["state"].alias("state"), empty.alias("out")), one)
+        return F.transform(F.array(done), lambda d: F.struct(d["state"].alias("state"), F.array_append(s["out"], d["out"]).alias("out")))[0]
+
+    return F.aggregate(blocks, F.struct(zero.alias("state"), F.slice(F.array(empty), 1, 0).alias("out")), whole, lambda s: F.flatten(s["out"]))
+
+
 def delta_decode(a: Column) -> Column:
     """Running sums, in one pass."""
-    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("out"))
-    return F.aggregate(a, zero, lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.array_append(s["out"], s["sum"] + x).alias("out")), lambda s: s["out"])
+    add = lambda total, x: F.struct((total + x).alias("state"), (total + x).alias("result"))
+    return _scan(a, F.lit(0).cast("long"), add, F.array().cast("array<bigint>"))
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -128,9 +191,24 @@ def array_delta_encode(a: Column) -> Column:
 
 def array_delta_decode(encoded: Column) -> Column:
     """The arrays of ``array_delta_encode``, in one pass."""
-    start = F.slice(F.transform(encoded, lambda x: x["rest"]), 1, 0)
-    last = lambda out: F.coalesce(F.get(out, F.size(out) - 1), F.slice(F.get(encoded, F.lit(0))["rest"], 1, 0))
-    return F.aggregate(encoded, start, lambda out, x: F.array_append(out, F.concat(F.slice(last(out), F.lit(1), x["shared"]), x["rest"])))
+    rests = F.transform(encoded, lambda x: x["rest"])
+    none = F.slice(F.flatten(F.slice(rests, 1, 0)), 1, 0)
+    grown = lambda last, x: F.concat(F.slice(last, F.lit(1), x["shared"]), x["rest"])
+    step = lambda last, x: F.struct(grown(last, x).alias("state"), grown(last, x).alias("result"))
+    return _scan(encoded, none, step, F.slice(rests, 1, 0))
+
+
+def bytes_prefix_encode(a: Column) -> Column:
+    """A group of byte strings as the prefix that all of them share, once, and what follows it in each."""
+    shared = common_prefix(F.hex(F.array_min(a)), F.hex(F.array_max(a)))
+    n = F.coalesce(F.floor(shared / 2), F.lit(0)).cast("int")
+    prefix = F.coalesce(F.substring(F.array_min(a), F.lit(1), n), F.lit(b""))
+    return F.struct(prefix.alias("prefix"), F.transform(a, lambda x: F.substring(x, n + 1, F.octet_length(x))).alias("suffixes"))
+
+
+def bytes_prefix_decode(encoded: Column) -> Column:
+    """The byte strings of ``bytes_prefix_encode``."""
+    return F.transform(encoded["suffixes"], lambda x: F.concat(encoded["prefix"], x))
 
 
 def is_unicode(s: Column) -> Column:
