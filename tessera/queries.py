@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import bits
 from tessera.functions import collections as c
-from tessera.functions import order
+from tessera.functions import order, types
+from tessera.functions.hash32 import double_array_hash
 from tessera.operators import alloc, atomic
 from tessera.operators.fold import apply_ops, apply_ops_streamed
 from tessera.operators.state import PREALLOC, as_state
@@ -61,7 +62,7 @@ def store_multi_get_status(spark: SparkSession, sf: str) -> DataFrame:
     return _orders(spark, sf).get(_asked(spark, sf).select("recid"))
 
 
-@register("SELECT event_id, (SELECT max(o_orderkey) + 1 FROM orders) + row_number() OVER (ORDER BY event_id) AS recid FROM events")
+@register("SELECT event_id, (SELECT max(o_orderkey) + 1 FROM orders) + row_number() OVER (ORDER BY event_id) AS recid, 'OK' AS status FROM events")
 def store_put(spark: SparkSession, sf: str) -> DataFrame:
     return _orders(spark, sf).put(_read(spark, sf, "events"), "event_id", "value")[1]
 
@@ -93,10 +94,10 @@ def store_get_and_update(spark: SparkSession, sf: str) -> DataFrame:
     return _orders(spark, sf).update(_asked(spark, sf))[1]
 
 
-@register("SELECT p_partkey + 1 AS recid, p_size AS old, p_size * 2 + 1 AS new FROM part WHERE p_size % 3 = 0 AND p_size <> p_size * 2 + 1")
+@register("SELECT p_partkey + 1 AS recid, 'OK' AS status, p_size AS old, p_size // 2 * 2 AS new FROM part WHERE p_size % 3 = 0")
 def store_update_atomic(spark: SparkSession, sf: str) -> DataFrame:
     rows = _read(spark, sf, "part").select((F.col("p_partkey") + 1).alias("recid"), F.col("p_size").alias("payload"))
-    return RecordStore(as_state(rows, "recid", "payload")).update_atomic(F.col("payload") % 3 == 0, lambda x: x * 2 + 1)[1]
+    return RecordStore(as_state(rows, "recid", "payload")).update_atomic(F.col("payload") % 3 == 0, lambda x: x - x % 2)[1]
 
 
 @register("SELECT o_orderkey + 1 AS recid, CASE WHEN o_orderkey % 3 = 0 THEN 'OK' ELSE 'MISMATCH' END AS status FROM orders")
@@ -150,8 +151,79 @@ def store_compact_live(spark: SparkSession, sf: str) -> DataFrame:
 @register("SELECT o_orderkey + 1 AS recid, CAST(1 + CASE WHEN n > 65535 THEN (n - 1) // 65527 ELSE 0 END AS BIGINT) AS chunks FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS n FROM orders)")
 def store_linked_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks that a record of so many bytes is linked from: up to 65535 bytes one, else 8 bytes of each are a pointer."""
-    n = F.floor("payload")
-    return _orders(spark, sf).state.select("recid", (1 + F.when(n > 65535, F.floor((n - 1) / 65527)).otherwise(0)).cast("long").alias("chunks"))
+    return _orders(spark, sf).state.select("recid", bits.linked_chunks(F.floor("payload")).alias("chunks"))
+
+
+# Batches that hold nulls, repeats, misses and values over the limit.
+
+_MIXED = "(SELECT CAST(event_id % 700 * 3 AS BIGINT) AS recid, CASE WHEN event_id % 5 <> 0 THEN repeat('v', CAST(event_id % 9 AS INT)) || event_id % 4 END AS new FROM events)"
+_NAMES = "(SELECT c_custkey + 1 AS recid, CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 2 END AS state, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS payload FROM customer)"
+_MOST = 8
+
+
+def _names(spark: SparkSession, sf: str) -> RecordStore:
+    """Customers' segments, every fourth one preallocated only, in a store for records of up to eight bytes."""
+    held = F.col("c_custkey") % 4 != 0
+    rows = _read(spark, sf, "customer").select((F.col("c_custkey") + 1).alias("recid"), F.when(held, 2).otherwise(1).alias("state"), F.when(held, F.col("c_mktsegment")).alias("payload"))
+    return RecordStore(rows, max_record_size=_MOST)
+
+
+def _mixed(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id")
+    return _read(spark, sf, "events").select((e % 700 * 3).alias("recid"), F.when(e % 5 != 0, F.concat(F.repeat(F.lit("v"), (e % 9).cast("int")), (e % 4).cast("string"))).alias("new"))
+
+
+_ASKED_MIXED = f"""m AS (SELECT r.recid, r.new, s.state, s.payload, CASE WHEN s.state = 2 THEN CASE WHEN r.new IS NULL THEN 'NULL_VALUE' WHEN strlen(r.new) > {_MOST} THEN 'TOO_LARGE' ELSE 'OK' END
+  WHEN s.state = 1 THEN 'PREALLOC' ELSE 'NOT_FOUND' END AS status FROM {_MIXED} r LEFT JOIN {_NAMES} s USING (recid))"""
+
+
+@register(f"WITH {_ASKED_MIXED} SELECT recid, status, payload AS old, new FROM m")
+def store_update_mixed_results(spark: SparkSession, sf: str) -> DataFrame:
+    return _names(spark, sf).update(_mixed(spark, sf))[1]
+
+
+@register(f"WITH {_ASKED_MIXED}, w AS (SELECT recid, max(new) AS new FROM m WHERE status = 'OK' GROUP BY recid) SELECT s.recid, s.state, coalesce(w.new, s.payload) AS payload FROM {_NAMES} s LEFT JOIN w USING (recid)")
+def store_update_mixed_state(spark: SparkSession, sf: str) -> DataFrame:
+    return _names(spark, sf).update(_mixed(spark, sf))[0].state
+
+
+_GOOD = f"(SELECT recid, max(new) AS new FROM {_MIXED} WHERE new IS NOT NULL AND strlen(new) <= {_MOST} GROUP BY recid)"
+
+
+@register(f"SELECT s.recid, CASE WHEN s.state = 1 AND g.new IS NOT NULL THEN 2 ELSE s.state END AS state, CASE WHEN s.state = 1 THEN g.new ELSE s.payload END AS payload FROM {_NAMES} s LEFT JOIN {_GOOD} g USING (recid)")
+def store_preallocate_put_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    return _names(spark, sf).preallocate_put(_mixed(spark, sf))[0].state
+
+
+@register(
+    f"""WITH g AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN repeat('v', CAST(event_id % 9 AS INT)) || event_id % 4 END AS v FROM events),
+r AS (SELECT event_id, CASE WHEN v IS NULL THEN 'NULL_VALUE' WHEN strlen(v) > {_MOST} THEN 'TOO_LARGE' ELSE 'OK' END AS status FROM g),
+n AS (SELECT event_id, status, CASE WHEN status = 'OK' THEN row_number() OVER (PARTITION BY status ORDER BY event_id) END AS n FROM r),
+f AS (SELECT recid, row_number() OVER (ORDER BY recid) AS n FROM {_NAMES} WHERE state = 2 AND recid % 10 = 0)
+SELECT event_id, CASE WHEN n.n IS NOT NULL THEN coalesce(f.recid, (SELECT max(recid) FROM {_NAMES}) + n.n - (SELECT count(*) FROM f)) END AS recid, status FROM n LEFT JOIN f USING (n)"""
+)
+def store_put_reuse(spark: SparkSession, sf: str) -> DataFrame:
+    """Every tenth recid is deleted, then values are put: freed recids are taken first, refused values get none."""
+    store = _names(spark, sf)
+    store = store.delete(store.state.where("recid % 10 = 0").select("recid"))[0]
+    e = F.col("event_id")
+    rows = _read(spark, sf, "events").select("event_id", F.when(e % 5 != 0, F.concat(F.repeat(F.lit("v"), (e % 9).cast("int")), (e % 4).cast("string"))).alias("v"))
+    return store.put(rows, "event_id", "v")[1]
+
+
+@register(
+    f"""WITH s AS (SELECT * FROM {_NAMES} WHERE state = 1 OR recid % 10 <> 0) SELECT count(payload) AS live, CAST(count(*) FILTER (state = 1) AS BIGINT) AS preallocated, (SELECT max(recid) FROM {_NAMES}) - count(*) AS free_recids,
+CAST(sum(strlen(payload)) AS BIGINT) AS bytes, CAST(sum((strlen(payload) + 15) // 16 * 16) AS BIGINT) AS class_bytes, (SELECT max(recid) FROM {_NAMES}) AS max_recid, CAST({_MOST} AS BIGINT) AS max_record_size, CAST(NULL AS BIGINT) AS size_limit FROM s"""
+)
+def store_summary(spark: SparkSession, sf: str) -> DataFrame:
+    store = _names(spark, sf)
+    return store.delete(store.state.where("recid % 10 = 0").select("recid"))[0].summary()
+
+
+@register(f"SELECT recid, CASE WHEN state = 2 AND recid % 10 = 0 THEN 0 ELSE state END AS state, CASE WHEN state = 2 AND recid % 10 <> 0 THEN payload END AS payload FROM {_NAMES}")
+def store_raw(spark: SparkSession, sf: str) -> DataFrame:
+    store = _names(spark, sf)
+    return store.delete(store.state.where("recid % 10 = 0").select("recid"))[0].raw()
 
 
 # --- folds of operation logs
@@ -312,10 +384,15 @@ def atomic_cas(spark: SparkSession, sf: str) -> DataFrame:
     return atomic.compare_and_set(ops, 0)[1]
 
 
-@register("SELECT event_id AS recid, CAST(event_id AS INT) AS int_value, CAST(event_id AS FLOAT) AS float_value, CAST(event_id AS DOUBLE) AS double_value, CAST(event_id AS VARCHAR) AS string_value FROM events")
+@register(
+    f"""SELECT event_id AS recid, CAST((event_id + 128) % 256 - 128 AS TINYINT) AS byte_value, CAST((event_id * 1000 + 32768) % 65536 - 32768 AS SMALLINT) AS short_value, {_WRAP32.format('event_id * 1000003')} AS int_value,
+event_id AS long_value, CAST(event_id AS FLOAT) AS float_value, CAST(event_id AS DOUBLE) AS double_value, CAST(event_id AS VARCHAR) AS string_value FROM events"""
+)
 def atomic_numeric_views(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("event_id")
-    return _read(spark, sf, "events").select(e.alias("recid"), e.cast("int").alias("int_value"), e.cast("float").alias("float_value"), e.cast("double").alias("double_value"), e.cast("string").alias("string_value"))
+    views = atomic.numeric_views(e)
+    views |= {"short_value": atomic.numeric_views(e * 1000)["short_value"], "int_value": atomic.numeric_views(e * 1000003)["int_value"]}
+    return _read(spark, sf, "events").select(e.alias("recid"), *(v.alias(n) for n, v in views.items()))
 
 
 # --- lists: each conversation's roles and turns; groups: each customer's sorted order keys
@@ -359,11 +436,11 @@ _list_query("list_insert", lambda a: _text(c.insert(a, 1, F.lit("x"))), _TEXT.fo
 _list_query("list_add_all", lambda a: _text(F.concat(a, F.reverse(a))), _TEXT.format("a || list_reverse(a)"))
 _list_query("list_add_all_at", lambda a: _text(c.insert_all(a, 1, a)), _TEXT.format("a[:1] || a || a[2:]"))
 _list_query("list_remove", lambda a: _text(c.remove(a, 0)), _TEXT.format("a[2:]"))
-_list_query("list_remove_range", lambda a: _text(c.remove_range(a, 1, 3)), _TEXT.format("a[:1] || a[4:]"))
+_list_query("list_remove_range", lambda a: _text(c.remove_range(a, 1, F.least(F.lit(3), F.size(a)))), _TEXT.format("a[:1] || a[4:]"))
 _list_query("list_set", lambda a: _text(c.replace(a, 0, F.lit("x"))), _TEXT.format("['x'] || a[2:]"))
 _list_query("list_index_of", lambda a: c.index_of(a, F.lit("assistant1")), "CAST(coalesce(list_position(a, 'assistant1'), 0) - 1 AS INT)")
 _list_query("list_last_index_of", lambda a: c.last_index_of(a, F.lit("user2")), "CAST(CASE WHEN list_contains(a, 'user2') THEN len(a) - list_position(list_reverse(a), 'user2') ELSE -1 END AS INT)")
-_list_query("list_sublist", lambda a: _text(c.sub_list(a, 1, 3)), _TEXT.format("a[2:3]"))
+_list_query("list_sublist", lambda a: _text(c.sub_list(a, 1, F.least(F.lit(3), F.size(a)))), _TEXT.format("a[2:3]"))
 _list_query("list_contains", lambda a: F.array_contains(a, "user2"), "list_contains(a, 'user2')")
 _group_query("group_search", lambda a: c.search(a, F.element_at(a, 1) + 500), "CAST(CASE WHEN list_contains(a, a[1] + 500) THEN list_position(a, a[1] + 500) - 1 ELSE -(len(list_filter(a, lambda x: x < a[1] + 500)) + 1) END AS INT)")
 _group_query("group_get", lambda a: c.get(a, F.size(a) - 1), "a[len(a)]")
@@ -405,6 +482,49 @@ _group_query(
 )
 
 
+_list_query("list_removed_old", lambda a: c.removed(a, F.size(a) - 1)["old"], "a[len(a)]")
+_list_query("list_replaced", lambda a: F.concat_ws(";", c.replaced(a, 0, F.lit("x"))["old"], _text(c.replaced(a, 0, F.lit("x"))["list"])), "a[1] || ';x' || CASE WHEN len(a) > 1 THEN ',' || array_to_string(a[2:], ',') ELSE '' END")
+_list_query("list_in_bounds", lambda a: F.concat_ws(",", *(c.in_bounds(a, i).cast("string") for i in (-1, 0, 4))), "'false,true,' || CASE WHEN len(a) > 4 THEN 'true' ELSE 'false' END")
+_list_query("list_remove_in_bounds", lambda a: F.when(c.in_bounds(a, 4), _text(c.remove(a, 4))), "CASE WHEN len(a) > 4 THEN array_to_string(a[:4] || a[6:], ',') END")
+_list_query("list_clear_is_empty", lambda a: c.is_empty(c.clear(a)) & ~c.is_empty(a), "len(a) > 0")
+
+
+@register(f"SELECT conv_id, array_to_string(a, ',') AS r FROM {_LISTS}")
+def list_entries_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Lists as one row for each entry, and back."""
+    return c.from_entries(c.entries(_lists(spark, sf), "conv_id", "a"), "conv_id").select("conv_id", _text(F.col("a")).alias("r"))
+
+
+_PREFIX = "(SELECT p_brand, list_sort(list(DISTINCT p_name)) AS a FROM part GROUP BY p_brand)"
+_SHARED = "CAST((SELECT count(*) FROM range(1, 201) t(i) WHERE i <= least(length(a[1]), length(a[len(a)])) AND a[1][:i] = a[len(a)][:i]) AS INT)"
+
+
+@register(f"SELECT p_brand, a[1][:n] AS prefix, array_to_string(list_transform(a, lambda x: substr(x, n + 1)), ';') AS suffixes, array_to_string(a, ';') AS back FROM (SELECT *, {_SHARED} AS n FROM {_PREFIX})")
+def group_prefix_encode(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _read(spark, sf, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set("p_name")).alias("a")).select("p_brand", c.prefix_encode(F.col("a")).alias("e"))
+    return rows.select("p_brand", "e.prefix", F.array_join("e.suffixes", ";").alias("suffixes"), F.array_join(c.prefix_decode(F.col("e")), ";").alias("back"))
+
+
+@register(f"SELECT p_brand, hex(encode(a[1][:n])) AS prefix, array_to_string(list_transform(a, lambda x: hex(encode(substr(x, n + 1)))), ';') AS suffixes, array_to_string(a, ';') AS back FROM (SELECT *, {_SHARED} AS n FROM {_PREFIX})")
+def group_bytes_prefix_encode(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _read(spark, sf, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set("p_name")).alias("a"))
+    rows = rows.select("p_brand", c.bytes_prefix_encode(F.transform("a", lambda x: F.encode(x, "UTF-8"))).alias("e"))
+    back = F.transform(c.bytes_prefix_decode(F.col("e")), lambda x: F.decode(x, "UTF-8"))
+    return rows.select("p_brand", F.hex("e.prefix").alias("prefix"), F.array_join(F.transform("e.suffixes", lambda x: F.hex(x)), ";").alias("suffixes"), F.array_join(back, ";").alias("back"))
+
+
+_group_query(
+    "group_array_delta",
+    lambda a: F.concat_ws(
+        ";",
+        F.array_join(F.transform(c.array_delta_encode(F.transform(a, lambda x: F.array(F.floor(x / 5000), F.floor(x / 500), x))), lambda e: e["shared"].cast("string")), ","),
+        F.array_join(F.flatten(c.array_delta_decode(c.array_delta_encode(F.transform(a, lambda x: F.array(F.floor(x / 5000), F.floor(x / 500), x))))).cast("array<string>"), ","),
+    ),
+    """array_to_string(list_transform(a, lambda x, i: CASE WHEN i = 1 OR x // 5000 <> a[i - 1] // 5000 THEN 0 WHEN x // 500 <> a[i - 1] // 500 THEN 1 ELSE 2 END), ',') || ';' ||
+array_to_string(flatten(list_transform(a, lambda x: [x // 5000, x // 500, x])), ',')""",
+)
+
+
 # --- keyed tables: each user's last event against each customer's key
 
 
@@ -450,6 +570,18 @@ def keyed_remove_if(spark: SparkSession, sf: str) -> DataFrame:
     return keyed.remove_if(have, asked)
 
 
+@register(f"WITH {_HAVE} SELECT n.k, h.k IS NOT NULL AS found FROM n LEFT JOIN h USING (k)")
+def keyed_contains_key(spark: SparkSession, sf: str) -> DataFrame:
+    have, new = _keyed(spark, sf)
+    return keyed.contains_key(have, new)
+
+
+@register(f"WITH {_HAVE} SELECT k, coalesce(n.v, h.v) AS v FROM h FULL JOIN n USING (k)")
+def keyed_put_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """All events of a user are put; the greatest value counts."""
+    return keyed.put(_keyed(spark, sf)[0], _read(spark, sf, "events").select(F.col("user_id").alias("k"), F.col("value").alias("v")))
+
+
 # --- hashes, orders, bits
 
 _WRAP64 = "CAST(CASE WHEN (({0}) % 18446744073709551616::HUGEINT + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT >= 9223372036854775808::HUGEINT THEN (({0}) % 18446744073709551616::HUGEINT + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT - 18446744073709551616::HUGEINT ELSE (({0}) % 18446744073709551616::HUGEINT + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT END AS BIGINT)"
@@ -481,6 +613,75 @@ def hash_array_and_tuple(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", c.int_array_hash(pair).alias("array_hash"), c.tuple_hash(pair).alias("tuple_hash"))
 
 
+@register(f"SELECT p_partkey, CAST(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(p_name, ''), lambda x: unicode(x)::BIGINT)), lambda h, e: {_WRAP32.format('(h + e) * -1640531527')}::BIGINT) AS INT) AS hash FROM part")
+def hash_string(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "part").select("p_partkey", c.string_hash(F.col("p_name")).alias("hash"))
+
+
+@register(f"SELECT o_orderkey, xor({_WRAP32.format('v >> 32')}, {_WRAP32.format('v')}) AS hash FROM (SELECT o_orderkey, xor(o_orderkey * 1000000007 - 77, o_custkey * -998244353) AS v FROM orders)")
+def hash_uuid(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "orders").select("o_orderkey", c.uuid_hash(F.col("o_orderkey") * 1000000007 - 77, F.col("o_custkey") * -998244353).alias("hash"))
+
+
+_LONG_HASH = f"(SELECT o_orderkey, k, {_WRAP32.format('xor(g, g >> 16)')}::BIGINT AS h FROM (SELECT o_orderkey, k, xor(h, h >> 32) AS g FROM (SELECT o_orderkey, k, {_MUL64} AS h FROM (SELECT o_orderkey, 1 AS k, o_orderkey AS x FROM orders UNION ALL SELECT o_orderkey, 2, o_custkey FROM orders))))"
+
+
+@register(
+    f"""WITH h AS (SELECT o_orderkey, max(h) FILTER (k = 1) AS a, max(h) FILTER (k = 2) AS b FROM {_LONG_HASH} GROUP BY 1)
+SELECT o_orderkey, {_WRAP32.format('a * -1640531527 + b')} AS long_array, {_WRAP32.format(f"{_WRAP32.format('(2::BIGINT * -1640531527 + a)')}::BIGINT * -1640531527 + b")} AS object_array FROM h"""
+)
+def hash_long_and_object_array(spark: SparkSession, sf: str) -> DataFrame:
+    pair = F.array("o_orderkey", "o_custkey")
+    return _read(spark, sf, "orders").select("o_orderkey", c.long_array_hash(pair).alias("long_array"), c.object_array_hash(F.transform(pair, bits.long_hash)).alias("object_array"))
+
+
+@register(
+    f"""SELECT vec_id, CAST(list_reduce(list_prepend(0::BIGINT, list_transform(embedding, lambda x: {_WRAP32.format('xor(x::DOUBLE::BIT::BIGINT, x::DOUBLE::BIT::BIGINT >> 32)')}::BIGINT)),
+  lambda h, e: {_WRAP32.format('h * -1640531527 + e')}::BIGINT) AS INT) AS hash FROM embeddings"""
+)
+def hash_double_array(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "embeddings").select("vec_id", double_array_hash(F.col("embedding").cast("array<double>")).alias("hash"))
+
+
+@register("SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY x, z, c_custkey) AS INT) AS n FROM (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 5 = 0 THEN 0 WHEN c_custkey % 5 = 1 THEN 'NaN'::DOUBLE ELSE c_acctbal END AS x, CASE WHEN c_custkey % 10 = 0 THEN 0 ELSE 1 END AS z FROM customer)")
+def order_float(spark: SparkSession, sf: str) -> DataFrame:
+    """Balances, some of them zeros of either sign or not a number, in the order of doubles."""
+    k = F.col("c_custkey")
+    x = F.when(k % 10 == 0, F.lit(-0.0)).when(k % 5 == 0, F.lit(0.0)).when(k % 5 == 1, F.lit(float("nan"))).otherwise(F.col("c_acctbal"))
+    return _read(spark, sf, "customer").select("c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(order.float_key(x), k)).alias("n"))
+
+
+@register("SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderkey % 5 - 2) * 2305843009213693952, o_orderkey * -7) AS INT) AS n FROM orders")
+def order_uuid(spark: SparkSession, sf: str) -> DataFrame:
+    """Signed halves: half of all first halves are negative."""
+    half = (F.col("o_orderkey") % 5 - 2) * (1 << 61)
+    return _read(spark, sf, "orders").select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(order.uuid_key(half, F.col("o_orderkey") * -7))).alias("n"))
+
+
+@register("SELECT l_linenumber, CAST(count(DISTINCT (CAST(l_quantity AS BIGINT) * CASE WHEN l_orderkey % 2 = 0 THEN 10 ELSE 1 END, l_orderkey % 2)) AS BIGINT) AS n FROM lineitem GROUP BY 1")
+def order_decimal(spark: SparkSession, sf: str) -> DataFrame:
+    """1.0 and 1 are different decimals."""
+    even = F.col("l_orderkey") % 2 == 0
+    key = order.decimal_key(F.col("l_quantity").cast("long") * F.when(even, 10).otherwise(1), F.when(even, 1).otherwise(0))
+    return _read(spark, sf, "lineitem").groupBy("l_linenumber").agg(F.count_distinct(key).alias("n"))
+
+
+@register(
+    """SELECT o_orderkey, upper(printf('%016x', o_orderkey * 7)) AS long_bytes, upper(printf('%08x', o_custkey)) AS int_bytes, CASE WHEN o_orderkey % 2 = 0 THEN '01' ELSE '00' END AS flag, hex(encode(o_orderpriority)) AS text,
+o_orderkey = o_custkey AS same FROM orders"""
+)
+def types_serialize(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return _read(spark, sf, "orders").select(
+        k,
+        F.hex(types.serialize(k * 7, "long")).alias("long_bytes"),
+        F.hex(types.serialize(F.col("o_custkey"), "integer")).alias("int_bytes"),
+        F.hex(types.serialize(k % 2 == 0, "boolean")).alias("flag"),
+        F.hex(types.serialize(F.col("o_orderpriority"), "string")).alias("text"),
+        types.binary_equal(k, F.col("o_custkey"), "long").alias("same"),
+    )
+
+
 @register("SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY user_id, event_id) AS n FROM events")
 def order_tuple(spark: SparkSession, sf: str) -> DataFrame:
     return _read(spark, sf, "events").select("event_type", "user_id", F.row_number().over(Window.partitionBy("event_type").orderBy(F.struct("user_id", "event_id"))).alias("n"))
