@@ -25,8 +25,8 @@ def odd(spark):
 
 def test_fingerprints_of_neighbours(spark):
     rnd = random.Random(3)
-    docs = [(i * 5, t) for i, t in enumerate(ODD)] + [(1000 + i, " ".join(rnd.choice("abcdefgh") * 3 for _ in range(rnd.randrange(400)))) for i in range(40)]
-    got = sorted(fingerprint.compared_with_next(spark.createDataFrame(docs, DOC).withColumn("guest", F.lit(1))).collect())
+    docs = [(None, "a row without an id")] + [(i * 5, t) for i, t in enumerate(ODD)] + [(1000 + i, " ".join(rnd.choice("abcdefgh") * 3 for _ in range(rnd.randrange(400)))) for i in range(40)]
+    got = sorted(fingerprint.compared_with_next(spark.createDataFrame(docs, DOC).withColumn("guest", F.lit(1))).collect(), key=lambda r: -1 if r["doc_id"] is None else r["doc_id"])
     assert [r["doc_id"] for r in got] == [d for d, _ in docs]
     alone = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(spark.createDataFrame(docs, DOC)).collect()}
     for i, (r, (d, t)) in enumerate(zip(got, docs, strict=True)):
@@ -35,7 +35,7 @@ def test_fingerprints_of_neighbours(spark):
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
         assert r["fingerprint"] == alone[d]
         other = fingerprint.decode(alone[docs[(i + 1) % len(docs)][0]])
-        assert r["near_next"] == fingerprint.likeness(fingerprint.decode(r["fingerprint"]), other)
+        assert r["near_next"] == fingerprint.likeness(fingerprint.decode(r["fingerprint"]), other, 4)
     assert fingerprint.compared_with_next(spark.createDataFrame([], DOC)).collect() == []
     assert [r["near_next"] for r in fingerprint.compared_with_next(spark.createDataFrame([(7, "a b c")], DOC)).collect()] == [1.0]
 
@@ -46,10 +46,22 @@ def test_sketches_merge_and_estimate_containment():
     b = np.union1d(rng.choice(a, 6000, replace=False), b)
     x, y = fingerprint.sketch(a, 8), fingerprint.sketch(b, 8)
     assert np.array_equal(fingerprint.merge(x, y, 8), fingerprint.sketch(np.union1d(a, b), 8))
-    assert abs(fingerprint.likeness(x, y) - 6000 / len(b)) < 0.05
+    assert abs(fingerprint.containment(x, y, 8) - 6000 / len(b)) < 0.05
     assert np.array_equal(fingerprint.merge(a[-1:], a[-2:-1], 8), fingerprint.sketch(a[-2:], 8))
 
 
+def test_containment_of_short_passages_is_right_or_not_known():
+    rng, known, errors = np.random.default_rng(1), 0, []
+    for _ in range(400):
+        long = np.unique(rng.integers(0, 1 << 63, 2000, dtype=np.uint64) * np.uint64(2))
+        short = np.sort(rng.choice(long, 5, replace=False))
+        found = fingerprint.containment(fingerprint.sketch(short, 4), fingerprint.sketch(long, 4), 4)
+        known += found is not None
+        errors.append(found not in (None, 1.0))
+    assert not any(errors) and known > 250
+    assert fingerprint.containment(short[-1:], short[-1:], 4) == 1.0 and fingerprint.likeness(fingerprint.sketch(long, 4), long[-1:], 4) == 0.0
+
+
 def test_pieces_decode_to_the_text(spark):
     back = piece_codec.decode(piece_codec.encode(odd(spark), PIECES), PIECES).collect()
     assert {r["doc_id"]: r["text"] for r in back} == {i: t or "" for i, t in enumerate(ODD)}
