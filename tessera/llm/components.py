@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import materialize
+from tessera.llm.scratch import materialize, release
 from tessera.llm.skew import heavy_keys, skew_join
 
 
@@ -20,7 +20,7 @@ def components(links: DataFrame) -> DataFrame:
     whole = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     both = materialize(whole.select("a", "b").union(whole.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     hubs = materialize(heavy_keys(both, ["b"]), "hubs")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    written = labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
         near = (
             skew_join(both, labels.select(F.col("node").alias("b"), "component"), ["b"], heavy=hubs)
@@ -31,7 +31,9 @@ def components(links: DataFrame) -> DataFrame:
         hooked = materialize(hooked, "hooked")
         jump = labels.select(F.col("node").alias("next"), F.col("component").alias("far"))
         moved = skew_join(hooked, jump, ["next"], "left")
-        moved = materialize(moved.select("node", "was", F.least("next", F.coalesce("far", "next")).alias("component")), "labels")
-        labels = moved.select("node", "component")
-        if moved.where("component <> was").isEmpty():
+        after = materialize(moved.select("node", "was", F.least("next", F.coalesce("far", "next")).alias("component")), "labels")
+        release(hooked, written)
+        written, labels = after, after.select("node", "component")
+        if written.where("component <> was").isEmpty():
+            release(both, hubs)
             return labels

@@ -20,7 +20,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, *, per_class: int, ma
     """``text, label`` of at most ``per_class`` rows a class, the first by a hash of the id, that aren't held out.
 
     Texts over ``max_chars`` code points are not learned from (they are scored, whole). The ids are picked from the
-    labels alone; at most 2 * ``per_class`` of them then pick their texts.
+    labels alone; at most 2 * ``per_class`` of them then pick their texts, and of rows that repeat an id the smallest text
+    counts, so no more rows than that come to the driver. Rows without an id aren't learned from.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
     picked = None
@@ -28,7 +29,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, *, per_class: int, ma
         first = usable.where(F.col("label") == value).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = first if picked is None else picked.unionByName(first)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    rows = texts.join(F.broadcast(picked), "doc_id").toPandas()
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).toPandas()
     return rows.sort_values(["doc_id", "text"]).reset_index(drop=True)
 
 

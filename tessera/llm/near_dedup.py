@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import text
 from tessera.llm.components import components
-from tessera.llm.scratch import materialize
+from tessera.llm.scratch import materialize, release
 from tessera.llm.skew import skew_join
 
 SYMBOL_BITS = 16
@@ -149,16 +149,20 @@ def confirm(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, perc
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, symbols) for i in (2, 3))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((x != y).sum(1) <= r))
 
-    def beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    def kept(pairs: DataFrame, table: DataFrame, column: str, check, name: str) -> DataFrame:  # noqa: ANN001
         side = lambda name: table.select(F.col("doc_id").alias(name), F.col(column).alias(f"{column}_{name}"))
         with_b = materialize(skew_join(pairs, side("b"), ["b"]), "pairs")
-        return skew_join(with_b, side("a"), ["a"]).select("a", "b", f"{column}_a", f"{column}_b")
+        both = skew_join(with_b, side("a"), ["a"]).select("a", "b", f"{column}_a", f"{column}_b")
+        found = materialize(both.mapInArrow(check, "a long, b long").distinct(), name)
+        release(with_b)
+        return found
 
     pairs = materialize(pairs, "pairs")
-    close = materialize(beside(pairs, sketches, "signature").mapInArrow(hamming, "a long, b long"), "close")
+    close = kept(pairs, sketches, "signature", hamming, "close")
     texts = materialize(texts_of(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs), "texts")
-    both = beside(close, texts, "text")
-    return materialize(both.mapInArrow(lambda b: _confirmed(b, k, percent), "a long, b long").distinct(), "confirmed")
+    found = kept(close, texts, "text", lambda b: _confirmed(b, k, percent), "confirmed")
+    release(pairs, close, texts)
+    return found
 
 
 #: Shingles whose frequency is told to every task, at most; rarer ones count as equally rare.

@@ -51,8 +51,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_paths: dict[int, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset and Spark runs on one machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="tessera-"))
     return f"file://{_own[0]}"
@@ -25,7 +29,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    _paths[id(written)] = (weakref.ref(written), path)
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` gave, once nothing reads them any more; other tables are left alone."""
+    for table in tables:
+        known, path = _paths.pop(id(table), (None, ""))
+        if known is not None and known() is table:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def clear(spark: SparkSession) -> None:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import materialize
+from tessera.llm.scratch import materialize, release
 from tessera.llm.skew import skew_join
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,6 +69,7 @@ def templates(leaves: DataFrame, z: float) -> DataFrame:
         ends = F.col("settled") | (left <= 1)
         rest = F.when(F.col("settled"), F.repeat(F.lit("/*"), F.greatest(left, F.lit(0)))).otherwise(F.col("goes"))
         moved = materialize(moved.select(*leaves.columns, F.concat("template", rest).alias("template"), ends.alias("_ends")), "level")
+        release(todo, branch)
         done.append(moved.where("_ends").drop("_ends"))
         todo, level = moved.where("NOT _ends").drop("_ends"), level + 1
         if todo.isEmpty():
