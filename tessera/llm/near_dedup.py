@@ -11,7 +11,8 @@ Buckets are never expanded into all their pairs:
 
 1. in every bucket, each member meets only the bucket's hub (the member whose keys are the most shared, which in a group
    of edited copies is the original); confirmed links are merged to components;
-2. only members of different components still have to meet. Small buckets pair them. The members of larger mixed buckets
+2. only members of different components still have to meet, where the parity maps of their sets, which bound their overlap from
+   above, don't rule a link out. Small buckets pair them. The members of larger mixed buckets
    are joined by their rarest shingles instead (an exact prefix filter): two sets with that much in common share one of
    the rarest (1 - threshold) of either's shingles, counted among these members, so what makes such a bucket large - a
    passage that all of them have - is the last thing looked at.
@@ -34,6 +35,8 @@ from tessera.llm.scratch import materialize, release
 from tessera.llm.skew import skew_join
 
 SYMBOL_BITS = 16
+#: 64-bit words of a set's parity map.
+MAP_WORDS = 8
 _U = np.uint64
 
 
@@ -51,38 +54,48 @@ def signature(shingles: np.ndarray, symbols: int) -> np.ndarray:
     return (text.mix(least ^ a) & _U((1 << SYMBOL_BITS) - 1)).astype(np.uint16)
 
 
+def parity_map(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * ``MAP_WORDS`` classes of shingles: whether the set holds an odd number of them.
+
+    The bits in which two maps differ are at most the shingles that only one of the two sets has.
+    """
+    odd = np.bincount((shingles % _U(64 * MAP_WORDS)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sketched(batches: Iterator[pa.RecordBatch], k: int, symbols: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, at = text.column(batch.column(1))
-        size, one, two, bits, sigs = [], [], [], [], []
+        size, one, two, sigs, maps = [], [], [], [], []
         for shingles in text.shingle_sets(data, at, k):
             size.append(len(shingles))
             one.append(int(np.bitwise_xor.reduce(shingles).astype(np.int64)) if len(shingles) else 0)
             two.append(int(text.mix(shingles).sum(dtype=_U).astype(np.int64)) if len(shingles) else 0)
             sig = signature(shingles, symbols) if len(shingles) else None
             sigs.append(None if sig is None else sig.tobytes())
+            maps.append(parity_map(shingles))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sigs, pa.binary())],
-            ["doc_id", "n_shingles", "set_one", "set_two", "signature"],
+            [batch.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sigs, pa.binary()), pa.array(maps, pa.list_(pa.int64()))],
+            ["doc_id", "n_shingles", "set_one", "set_two", "signature", "parity"],
         )
 
 
 def sketch(docs: DataFrame, k: int = 5, symbols: int = 72) -> DataFrame:
-    """``doc_id, n_shingles, set_one, set_two, signature``: size, 128-bit content hash and signature of every text's set."""
+    """``doc_id, n_shingles, set_one, set_two, signature, parity``: size, 128-bit content hash, signature and parity map of every text's set."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(
         lambda batches: _sketched(batches, k, symbols),
-        "doc_id long, n_shingles long, set_one long, set_two long, signature binary",
+        "doc_id long, n_shingles long, set_one long, set_two long, signature binary, parity array<bigint>",
     )
 
 
 def _keyed(batches: Iterator[pa.RecordBatch], chunks: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``key, rep, n, bits_one, bits_two`` from rows ``rep, n, signature``; the bits are the symbols' lowest ones."""
+    """Rows ``key, rep`` from rows ``rep, signature``."""
     salts = _coefficients(chunks * width)
     for batch in batches:
         rep = np.asarray(batch.column(0))
         for i in range(0, len(rep), 2048):
             part = batch.slice(i, 2048)
-            sig = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(len(part), chunks, width).astype(_U)
+            sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(len(part), chunks, width).astype(_U)
             keys = []
             for c in range(chunks):
                 for wrong in range(width):
@@ -92,29 +105,24 @@ def _keyed(batches: Iterator[pa.RecordBatch], chunks: int, width: int) -> Iterat
                             h = text.mix(h * _U(0xD6E8FEB86659FD93) + sig[:, c, s])
                     keys.append(h.view(np.int64))
             row = np.repeat(np.arange(len(part)), len(keys))
-            bit = (sig.reshape(len(part), -1) & _U(1)).astype(np.uint8)
-            halves = [np.packbits(np.pad(x, ((0, 0), (0, 64 - x.shape[1]))), axis=1).view(np.int64)[:, 0] for x in (bit[:, :64], bit[:, 64:128])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.stack(keys, 1).ravel()), pa.array(rep[i : i + 2048][row]), pa.array(np.asarray(part.column(1))[row]), pa.array(halves[0][row]), pa.array(halves[1][row])],
-                ["key", "rep", "n", "bits_one", "bits_two"],
-            )
-
-
-_KEY_ROW = "key long, rep long, n long, bits_one long, bits_two long"
+            yield pa.RecordBatch.from_arrays([pa.array(np.stack(keys, 1).ravel()), pa.array(rep[i : i + 2048][row])], ["key", "rep"])
 
 
 def index(reps: DataFrame, chunks: int, width: int) -> DataFrame:
-    """The buckets with at least two members: every row of ``reps(doc_id, n_shingles, signature)`` under all its keys."""
-    keyed = reps.select("doc_id", "n_shingles", "signature").mapInArrow(lambda b: _keyed(b, chunks, width), _KEY_ROW)
+    """The buckets with at least two members: every row of ``reps(doc_id, signature)`` under all its keys, with ``members``."""
+    keyed = reps.select("doc_id", "signature").mapInArrow(lambda b: _keyed(b, chunks, width), "key long, rep long")
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     return materialize(keyed.join(shared, "key"), "buckets")
 
 
-def _near(r: int, percent: int, a: str, b: str) -> Column:
-    """What two rows of a bucket must fulfil to be linked at all: sizes within the ratio, and at most r of the symbols' lowest bits different."""
-    differ = F.bit_count(F.col(f"{a}.bits_one").bitwiseXOR(F.col(f"{b}.bits_one"))) + F.bit_count(F.col(f"{a}.bits_two").bitwiseXOR(F.col(f"{b}.bits_two")))
+def _near(percent: int, a: str, b: str) -> Column:
+    """What two sets of a bucket must fulfil to be linked at all: sizes within the ratio, and no more differing bits of their parity
+    maps than the threshold leaves shingles to either of them alone."""
+    differ = F.lit(0)
+    for i in range(MAP_WORDS):
+        differ = differ + F.bit_count(F.get(f"{a}.parity", F.lit(i)).bitwiseXOR(F.get(f"{b}.parity", F.lit(i))))
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return (differ <= r) & (small * 100 >= large * percent)
+    return (small * 100 >= large * percent) & (differ * (100 + percent) <= (small + large) * (100 - percent))
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -237,12 +245,12 @@ def near_duplicates(
     sketches = materialize(sketch(docs, k, symbols), "sketches")
     full = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     content = ["n_shingles", "set_one", "set_two"]
-    groups = full.groupBy(*content).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("signature").alias("signature"))
+    groups = full.groupBy(*content).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("signature").alias("signature"), F.first("parity").alias("parity"))
     groups = materialize(groups, "groups")
     member = skew_join(full.select("doc_id", *content), groups.select(*content, "rep"), content, counts=groups)
     member = materialize(member.select("doc_id", "rep").distinct(), "members")
     # An id with several texts may stand for several contents.
-    reps = groups.select(F.col("rep").alias("doc_id"), "n_shingles", "signature")
+    reps = groups.select(F.col("rep").alias("doc_id"), "n_shingles", "signature", "parity")
 
     buckets = index(reps, chunks, width)
     links = confirm(hub_pairs(buckets), reps, docs, k, percent, r, symbols)
@@ -251,16 +259,18 @@ def near_duplicates(
     mixed = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = mixed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     mixed = materialize(mixed.join(split, "key"), "mixed")
-    small, large = mixed.where(F.col("members") <= pair_up_to), mixed.where(F.col("members") > pair_up_to)
+    sets = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "parity")
+    small = mixed.where(F.col("members") <= pair_up_to).select("key", "rep", "component").join(sets, "rep")
+    large = mixed.where(F.col("members") > pair_up_to).select("rep", "component").distinct().join(sets, "rep")
     apart = F.col("x.component") != F.col("y.component")
-    met = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & apart & _near(r, percent, "x", "y"))
-    rare = rarest(materialize(large.select("rep", "n", "bits_one", "bits_two", "component").distinct(), "large"), docs, k, percent)
+    met = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & apart & _near(percent, "x", "y"))
+    rare = rarest(materialize(large, "large"), docs, k, percent)
     # A shared shingle counts only if what follows it can still make up the overlap that the threshold asks for.
     rest = 1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
     enough = rest * (100 + percent) >= (F.col("x.size") + F.col("y.size")) * percent
-    other = rare.select("shingle", F.struct("rep", "n", "bits_one", "bits_two", "component", "size", "place").alias("y"))
-    one = rare.select("shingle", F.struct("rep", "n", "bits_one", "bits_two", "component", "size", "place").alias("x"))
-    also = skew_join(one, other, ["shingle"]).where((F.col("x.rep") < F.col("y.rep")) & apart & enough & _near(r, percent, "x", "y"))
+    told = ["rep", "n", "parity", "component", "size", "place"]
+    one, other = (rare.select("shingle", F.struct(*told).alias(name)) for name in ("x", "y"))
+    also = skew_join(one, other, ["shingle"]).where((F.col("x.rep") < F.col("y.rep")) & apart & enough & _near(percent, "x", "y"))
     pairs = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).unionByName(also.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
     more = confirm(pairs.distinct(), reps, docs, k, percent, r, symbols)
     if not more.isEmpty():
