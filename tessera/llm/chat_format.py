@@ -158,7 +158,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *added], [f.split()[0] for f in _KEYED.split(", ")])
 
 
-def blocks(conversations: DataFrame, tokenizer: str, pattern: str, *, share_chars: int = 1 << 20, block_chars: int = 1 << 16) -> DataFrame:
+def blocks(conversations: DataFrame, tokenizer: str, pattern: str, *, share_chars: int = 1 << 17, block_chars: int = 1 << 16) -> DataFrame:
     """One row a block of prefix trees (see ``BLOCK``) for ``conversations(conv_id, turn, role, text)``.
 
     A conversation's rows are ordered by turn, then role, then text, so repeated rows and ties have one order; a null
