@@ -35,7 +35,7 @@ def test_fingerprints_of_neighbours(spark):
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
         assert r["fingerprint"] == alone[d]
         other = fingerprint.decode(alone[docs[(i + 1) % len(docs)][0]])
-        assert r["near_next"] == fingerprint.likeness(fingerprint.decode(r["fingerprint"]), other, 4)
+        assert r["near_next"] == fingerprint.likeness(fingerprint.decode(r["fingerprint"]), other, 8)
     assert fingerprint.compared_with_next(spark.createDataFrame([], DOC)).collect() == []
     assert [r["near_next"] for r in fingerprint.compared_with_next(spark.createDataFrame([(7, "a b c")], DOC)).collect()] == [1.0]
 
