@@ -1,7 +1,8 @@
 """Encoding texts chunk by chunk, each distinct chunk once.
 
 Both tokenizers used here never join bytes over certain boundaries, so a text's ids are its chunks' ids in a row. A
-worker keeps the ids of the chunks that it has met, by 64-bit hash, in sorted arrays of a bounded number of entries.
+worker keeps the ids of the chunks that it has met, by 64-bit hash, in sorted arrays of a bounded number of entries. Chunks with
+equal hashes are taken for equal: among a million and a half entries two differ and agree with a probability under 1e-7.
 """
 
 from __future__ import annotations

@@ -47,6 +47,8 @@ class PieceModel:
                 self.byte_ids[int(piece[3:5], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 surface = piece.replace(_SPACE_MARK, " ")
+                if " " in surface.lstrip(" "):
+                    raise ValueError(f"piece {piece!r} has a space after another character, so texts can't be cut at spaces")
                 self.out[i] = surface.encode()
                 score = model.get_score(i)
                 self.automaton.add_word(surface, (len(surface), score, i))
@@ -117,7 +119,12 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
-    """``doc_id, ids`` of every row of ``docs(doc_id, text)``; a null or empty text has no ids; repeated rows are each encoded."""
+    """``doc_id, ids`` of every row of ``docs(doc_id, text)``.
+
+    A null or empty text has no ids; texts of any length are encoded whole; repeated rows and rows without an id are each
+    encoded; of equally good segmentations the one with the longer last piece counts; further columns are ignored; an empty
+    table gives an empty result.
+    """
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda b: _encoded(b, model), "doc_id long, ids array<int>")
 
 
@@ -140,5 +147,9 @@ def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """``doc_id, n_ids, ids_crc32, text`` of every row of ``encoded(doc_id, ids)``."""
+    """``doc_id, n_ids, ids_crc32, text`` of every row of ``encoded(doc_id, ids)``.
+
+    Null or no ids give the empty text; repeated rows are each decoded; further columns are ignored; ids that aren't in the
+    vocabulary, or don't make UTF-8, are an error; an empty table gives an empty result.
+    """
     return encoded.select("doc_id", "ids").mapInArrow(lambda b: _decoded(b, model), "doc_id long, n_ids long, ids_crc32 long, text string")

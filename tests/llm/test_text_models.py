@@ -72,6 +72,93 @@ def test_spans_are_offsets_of_the_words(spark):
         assert [r["text"][s["start"] : s["end"]] for s in r["spans"]] == (["SCUMbag"] if r["doc_id"] % 2 else [])
 
 
+def plain_marginals(emission, chain):
+    """P(label 1) of each item of one sequence, by sums over logarithms."""
+    n = len(emission)
+    score = [[0.0, float(e)] for e in emission]
+    ahead, behind = [[chain.first[y] + score[0][y] for y in (0, 1)]], [[0.0, 0.0]]
+    for t in range(1, n):
+        ahead.append([score[t][y] + np.logaddexp(*(ahead[-1][x] + chain.transition[x, y] for x in (0, 1))) for y in (0, 1)])
+    for t in range(n - 1, 0, -1):
+        behind.append([np.logaddexp(*(chain.transition[x, y] + score[t][y] + behind[-1][y] for y in (0, 1))) for x in (0, 1)])
+    behind.reverse()
+    return np.array([1 / (1 + np.exp(a[0] + b[0] - a[1] - b[1])) for a, b in zip(ahead, behind, strict=True)])
+
+
+def sigmoid(columns, document):
+    w, mean, scale = document
+    return 1 / (1 + np.exp(-(((np.array(columns) - mean) / scale * w[:-1]).sum() + w[-1])))
+
+
+def learned(label):
+    import duckdb
+
+    return duckdb.sql(f"SELECT text, {label} AS label FROM '{DATA}/documents.parquet' JOIN '{DATA}/labels.parquet' USING (doc_id) WHERE {label} IN (0, 1) AND text IS NOT NULL ORDER BY doc_id LIMIT 250").df()
+
+
+def scored(module, model, texts):
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    return [r for b in module._scored(iter([batch]), model) for r in b.to_pylist()]
+
+
+def test_toxicity_scores_and_spans_equal_a_plain_model():
+    import re
+
+    from tessera.llm import toxicity as module
+
+    rows = learned("toxic")
+    model, texts = module.train(rows, rounds=8), [*rows["text"][:60], "one", "", "é words, and \n more"]
+    hot = 0
+    for text, got in zip(texts, scored(module, model, texts), strict=True):
+        words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        if not words:
+            assert got["spans"] == [] and abs(got["score"] - sigmoid([0, 0, 0], model.document)) < 1e-8
+            continue
+        own = np.array([module.features(np.frombuffer(text[s:e].encode(), np.uint8), np.array([0, len(text[s:e].encode())]))[3][0] for s, e in words])
+        part = module._PART
+        emission = [float(model.bias[0]) + sum(float(model.weights[f]) for f in o) + (float(model.weights[part + own[i - 1][0]]) if i else 0) + (float(model.weights[2 * part + own[i + 1][0]]) if i + 1 < len(own) else 0) for i, o in enumerate(own)]
+        marginal = plain_marginals(emission, model.chain)
+        columns = [np.log1p(marginal.sum()), marginal.max(), np.sqrt(marginal.sum() / len(marginal))]
+        assert abs(got["score"] - sigmoid(columns, model.document)) < 1e-5
+        if (abs(marginal - 0.5) > 1e-4).all():
+            runs = [i for i in range(len(marginal)) if marginal[i] >= 0.5 and (i == 0 or marginal[i - 1] < 0.5)]
+            assert len(got["spans"]) == len(runs)
+            assert all(words[i][0] <= s["start"] < words[i][1] for i, s in zip(runs, got["spans"], strict=True))
+            hot += len(runs)
+    assert hot
+
+
+def test_quality_scores_equal_a_plain_model():
+    from tessera.llm import quality_crf as module
+
+    rows = learned("quality")
+    model, texts = module.train(rows, rounds=20), [*rows["text"][:60], "one line", "", "two\nlines of it"]
+    for text, got in zip(texts, scored(module, model, texts), strict=True):
+        data = np.frombuffer(text.encode(), np.uint8)
+        own, _, length = module.features(data, np.array([0, len(data)]))
+        if not len(own):
+            assert got["line_scores"] == []
+            continue
+        zero = np.zeros(own.shape[1])
+        emission = [float(np.concatenate([own[i], own[i - 1] if i else zero, own[i + 1] if i + 1 < len(own) else zero]) @ model.weights) for i in range(len(own))]
+        marginal = plain_marginals(emission, model.chain)
+        assert np.allclose(got["line_scores"], marginal, atol=1e-6)
+        mean = np.clip((marginal * length).sum() / length.sum(), 1e-4, 1 - 1e-4)
+        assert abs(got["score"] - sigmoid([np.log(mean / (1 - mean)), 1.0], model.document)) < 1e-5
+
+
+def test_samples_are_bounded_in_rows(spark):
+    from tessera.llm.labelled import sample
+
+    a, b, c = [i for i in range(50) if zlib.crc32(str(i).encode()) % 4 != 2][:3]
+    docs = spark.createDataFrame([(a, f"text {i}") for i in range(500)] + [(b, "good"), (None, "none")], DOC)
+    labels = spark.createDataFrame([(a, 1), (b, 0), (c, 0)], "doc_id long, toxic int")
+    rows = sample(docs, labels, "toxic", per_class=2, max_chars=100)
+    assert sorted(zip(rows["text"], rows["label"], strict=True)) == [("good", 0), ("text 0", 1)]
+
+
 def test_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     for operator in (toxicity, quality):
