@@ -124,7 +124,7 @@ _HEAD, _RECORD = ">q", ">qi"
 
 
 def export_flat(state: DataFrame, path: str) -> None:
-    """Binary payloads as flat record files, one a partition, each under its own count (Parquet rows of one BINARY value)."""
+    """Binary payloads as flat record files, one for each Arrow batch, each under its own count (Parquet rows of one BINARY value)."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
