@@ -224,7 +224,7 @@ def test_a_hot_turn_is_emitted_once_and_its_conversations_are_spread(spark):
     for i in range(100, 150):
         rows += [(i, 0, "user", opening), (i, 1, "assistant", second)] + [(i, 2, "user", f"more {i}")] * (i % 5 > 0)
     rows += [(None, 0, "user", "no id"), (None, 1, "assistant", "nor here"), (7000, None, None, None)]
-    blocks = materialize(chat_format.blocks(spark.createDataFrame(rows, CONVERSATION), *CHAT), "test")
+    blocks = materialize(chat_format.blocks(spark.createDataFrame(rows, CONVERSATION), *CHAT, share_chars=1 << 20), "test")
     found = blocks.collect()
     assert sum(r["conversations"] == [] for r in found) == 2  # the trunks
     assert sum(len(r["nodes"]) for r in found) == 2 + 50 + 40 + 2 + 1  # one node for each distinct prefix
