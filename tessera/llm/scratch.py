@@ -24,11 +24,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
+#: Arrow batches that tables are written by take no more bytes than this, so that rows with two texts stay small beside the heap.
+BATCH_BYTES = 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: later work restarts from the files, not from ``df``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH)
+        else:
+            spark.conf.set(_BATCH, before)
     written = spark.read.schema(df.schema).parquet(path)
     _paths[id(written)] = (weakref.ref(written), path)
     return written
