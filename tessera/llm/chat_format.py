@@ -7,7 +7,8 @@ are emitted once, depth first, with position ids that continue from the parent,
 that a node may attend to: its ancestors' tokens and, causally, its own.
 
 Every turn of the forest is emitted once, however many conversations share it. A node with more conversations below it than
-a task should hold is a trunk: a block of its own. What stands below trunks is dealt by the turn that follows the last of
+a task should hold belongs to a trunk: a block of its own, which holds such nodes in a row as long as all conversations go on through
+them. What stands below trunks is dealt by the turn that follows the last of
 them, so each subtree has one owner; its block names the trunks above it, in order, and attends to all of their tokens
 before its own. So neither a common opening nor a conversation that is repeated many times makes a large task.
 """
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.scratch import materialize, partitions
@@ -163,8 +164,8 @@ def blocks(conversations: DataFrame, tokenizer: str, pattern: str, *, share_char
 
     A conversation's rows are ordered by turn, then role, then text, so repeated rows and ties have one order; a null
     role or text is empty, and a row without a conv_id is a conversation of its own. A conversation is one training example
-    and is held in memory as a whole; a node with more than ``share_chars`` code points of conversations below it is a
-    trunk, and trees share a block up to about ``block_chars``. An empty table gives no blocks; further columns are ignored.
+    and is held in memory as a whole; a node with more than ``share_chars`` code points of two or more conversations below it is
+    in a trunk, and trees share a block up to about ``block_chars``. An empty table gives no blocks; further columns are ignored.
     """
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t"))
@@ -172,13 +173,18 @@ def blocks(conversations: DataFrame, tokenizer: str, pattern: str, *, share_char
     whole = named.unionByName(rows.where("conv_id IS NULL").select("conv_id", F.array("t").alias("turns")))
     whole = materialize(whole.mapInArrow(_keyed, _KEYED), "conversations")
 
-    sizes = whole.select(F.explode("keys").alias("key"), "chars").groupBy("key").agg(F.sum("chars").alias("size"))
-    hot = materialize(sizes.where(F.col("size") > share_chars), "trunks")
+    sizes = whole.select(F.explode("keys").alias("key"), "chars").groupBy("key").agg(F.sum("chars").alias("size"), F.count("*").alias("n"))
+    hot = materialize(sizes.where((F.col("size") > share_chars) & (F.col("n") > 1)), "trunks")
     # Conversations with one leaf share their whole path, so paths are looked up once a leaf.
     paths = materialize(whole.select("leaf", "keys").dropDuplicates(["leaf"]).select("leaf", F.posexplode("keys").alias("depth", "key")), "paths")
-    on_path = materialize(skew_join(paths, hot.select("key", "size"), ["key"]), "on_path")
-    last = on_path.groupBy("leaf").agg(F.max(F.struct((F.col("depth") + 1).alias("depth"), "key", "size")).alias("last"))
-    deep = last.select("leaf", "last.depth", F.col("last.key").alias("trunk"), F.ceil(F.col("last.size") / share_chars).alias("shares"))
+    on_path = skew_join(paths, hot, ["key"])
+    # Large nodes in a row that the same conversations go through are one trunk, named by the last of them.
+    along = Window.partitionBy("leaf").orderBy("depth")
+    goes_on = (F.lead("depth").over(along) == F.col("depth") + 1) & (F.lead("n").over(along) == F.col("n"))
+    on_path = on_path.withColumn("goes_on", F.coalesce(goes_on, F.lit(False))).where("NOT goes_on").select("leaf", "depth", "key", "size")
+    on_path = materialize(on_path, "on_path")
+    last = on_path.groupBy("leaf").agg(F.max(F.struct((F.col("depth") + 1).alias("depth"), "key", "size")).alias("last"), F.sort_array(F.collect_list("depth")).alias("marks"))
+    deep = last.select("leaf", "marks", "last.depth", F.col("last.key").alias("trunk"), F.ceil(F.col("last.size") / share_chars).alias("shares"))
     dealt = skew_join(whole, deep, ["leaf"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
     # The turn below the trunks; null where a conversation ends with its trunk, which only its own place can deal.
     dealt = dealt.withColumn("unit", F.get("keys", F.col("depth")))
@@ -188,11 +194,16 @@ def blocks(conversations: DataFrame, tokenizer: str, pattern: str, *, share_char
     total = whole.agg(F.sum("chars")).first()[0] or 0
     groups = max(partitions(conversations.sparkSession), -(-total // (4 * share_chars)))
     owner = F.when(F.col("trunk").isNull(), F.xxhash64("unit")).otherwise(F.xxhash64("trunk", "share"))
-    dealt = dealt.select(F.pmod(owner, F.lit(groups)).alias("group"), F.coalesce("trunk", F.lit("")).alias("trunk"), "share", F.coalesce("unit", F.lit("")).alias("unit"), "depth", "conv_id", "place", "turns", "keys")
+    dealt = dealt.select(F.pmod(owner, F.lit(groups)).alias("group"), F.coalesce("trunk", F.lit("")).alias("trunk"), "share", F.coalesce("unit", F.lit("")).alias("unit"), "depth", "marks", "conv_id", "place", "turns", "keys")
 
     def above(row: dict, depth: int) -> list[dict]:
+        """The trunks over the turn at ``depth``: each ends at a mark."""
         encode = _encoding(tokenizer, pattern).encode_ordinary
-        return [{"block_id": k, "tokens": sum(len(encode(x)) for x in turn_parts(*t))} for k, t in zip(row["keys"][:depth], _turns(row), strict=False)]
+        found, start, turns = [], 0, _turns(row)
+        for mark in (m for m in row["marks"] or () if m < depth):
+            found.append({"block_id": row["keys"][mark], "tokens": sum(len(encode(x)) for t in turns[start : mark + 1] for x in turn_parts(*t))})
+            start = mark + 1
+        return found
 
     def build(table: pa.Table) -> pa.Table:
         encode = _encoding(tokenizer, pattern).encode_ordinary
@@ -225,14 +236,16 @@ def blocks(conversations: DataFrame, tokenizer: str, pattern: str, *, share_char
             for i in range(batch.num_rows):
                 (row,) = batch.slice(i, 1).to_pylist()
                 tree, over = Tree(), above(row, row["depth"])
-                tree.add(None, [_turns(row)[row["depth"]]])
+                start = max((m + 1 for m in row["marks"] if m < row["depth"]), default=0)
+                tree.add(None, _turns(row)[start : row["depth"] + 1])
                 own = tree.emit(encode, sum(a["tokens"] for a in over)) | {"conversations": []}
                 yield pa.RecordBatch.from_pylist([{"block_id": row["keys"][row["depth"]], "above": over, **own}], _BLOCK)
 
     examples = on_path.groupBy("key", "depth").agg(F.min("leaf").alias("leaf"))
     leaves = materialize(examples.select("leaf").distinct(), "leaves")
     turns = skew_join(whole.select("leaf", "turns", "keys"), leaves, ["leaf"]).dropDuplicates(["leaf"])
-    trunk_blocks = turns.join(examples.select("leaf", "depth"), "leaf").select("depth", "turns", "keys").mapInArrow(trunks, BLOCK)
+    marked = examples.select("leaf", "depth").join(deep.select("leaf", "marks"), "leaf")
+    trunk_blocks = turns.join(marked, "leaf").select("depth", "marks", "turns", "keys").mapInArrow(trunks, BLOCK)
     return dealt.groupBy("group").applyInArrow(build, BLOCK).unionByName(trunk_blocks)
 
 
@@ -272,8 +285,8 @@ def read_back(formatted: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
     whole = materialize(formatted.select(*_BLOCK.names), "blocks")
     held = whole.where(F.size("conversations") > 0)
     refs = materialize(held.select("block_id", F.posexplode("above").alias("at", "trunk")).select("block_id", "at", F.col("trunk.block_id").alias("key")), "refs")
-    node = F.get("nodes", F.lit(0))
-    trunk = whole.where(F.size("conversations") == 0).select(F.col("block_id").alias("key"), F.struct("token_ids", node["loss_start"].alias("loss_start"), node["loss_end"].alias("loss_end")).alias("trunk"))
+    nodes = F.transform("nodes", lambda n: F.struct(n["start"].alias("start"), n["end"].alias("end"), n["loss_start"].alias("loss_start"), n["loss_end"].alias("loss_end")))
+    trunk = whole.where(F.size("conversations") == 0).select(F.col("block_id").alias("key"), F.struct("token_ids", nodes.alias("nodes")).alias("trunk"))
     context = skew_join(refs, trunk, ["key"]).groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("at", "trunk"))).alias("context"))
     free = held.where(F.size("above") == 0)
     rows = held.where(F.size("above") > 0).join(context, "block_id").unionByName(free.withColumn("context", F.array().cast(context.schema["context"].dataType)))
@@ -283,8 +296,9 @@ def read_back(formatted: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
         for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
             base = _Read()
             for t in row["context"]:
-                ids, on = t["trunk"]["token_ids"], t["trunk"]
-                base = base.then(decode(ids), decode(ids[on["loss_start"] : on["loss_end"]]), len(ids))
+                ids = t["trunk"]["token_ids"]
+                for on in t["trunk"]["nodes"]:
+                    base = base.then(decode(ids[on["start"] : on["end"]]), decode(ids[on["loss_start"] : on["loss_end"]]), on["end"] - on["start"])
             if base.tokens != sum(a["tokens"] for a in row["above"]):
                 raise ValueError("a block's trunks aren't what it names")
             ids, done = row["token_ids"], []

@@ -224,10 +224,13 @@ def test_a_hot_turn_is_emitted_once_and_its_conversations_are_spread(spark):
     for i in range(100, 150):
         rows += [(i, 0, "user", opening), (i, 1, "assistant", second)] + [(i, 2, "user", f"more {i}")] * (i % 5 > 0)
     rows += [(None, 0, "user", "no id"), (None, 1, "assistant", "nor here"), (7000, None, None, None)]
+    # One very long conversation alone, and another one twice: neither is cut turn by turn.
+    rows += [(8000, t, "user", f"turn {t} " * 400) for t in range(400)] + [(8001 + c, t, "user", f"twin {t} " * 300) for c in (0, 1) for t in range(300)]
     blocks = materialize(chat_format.blocks(spark.createDataFrame(rows, CONVERSATION), *CHAT, share_chars=1 << 20), "test")
     found = blocks.collect()
-    assert sum(r["conversations"] == [] for r in found) == 2  # the trunks
-    assert sum(len(r["nodes"]) for r in found) == 2 + 50 + 40 + 2 + 1  # one node for each distinct prefix
+    trunks = [r for r in found if r["conversations"] == []]
+    assert sorted(len(r["nodes"]) for r in trunks) == [1, 1, 300]
+    assert sum(len(r["nodes"]) for r in found) == 2 + 50 + 40 + 2 + 1 + 400 + 300  # one node for each distinct prefix
     owners = [r for r in found if r["conversations"] and r["above"]]
     assert len(owners) > 4 and max(len(r["conversations"]) for r in owners) < 60
     got = {}
