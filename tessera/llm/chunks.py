@@ -15,6 +15,8 @@ from tessera.llm import text
 
 #: Entries and ids that a worker keeps at most; then it starts anew. Bounds memory, not results.
 CACHE_CHUNKS, CACHE_IDS = 1_500_000, 12_000_000
+#: Bytes of text that are encoded at once: every pass merges its new chunks into the sorted arrays, so passes are few and large.
+PASS_BYTES = 1 << 20
 
 
 class ChunkEncoder:

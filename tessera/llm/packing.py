@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import text
-from tessera.llm.chunks import ChunkEncoder
+from tessera.llm.chunks import PASS_BYTES, ChunkEncoder
 from tessera.llm.scratch import materialize
 
 #: A character that the vocabulary has as one id; chunks are encoded many at a time between such marks.
@@ -85,7 +85,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, most: int, end_id: int
     for batch in batches:
         data, at = text.column(batch.column(1))
         doc_ids = batch.column(0)
-        for i, j in text.slices(at):
+        for i, j in text.slices(at, PASS_BYTES):
             part, starts, ends, first = word_chunks(data[at[i] : at[j]], at[i : j + 1] - at[i])
             ids, total = encoder(part, starts, ends)
             row, piece, start, length, crc, kept = [], [], [], [], [], []

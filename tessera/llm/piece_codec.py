@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import text
-from tessera.llm.chunks import ChunkEncoder
+from tessera.llm.chunks import PASS_BYTES, ChunkEncoder
 
 #: How far an unknown character's score lies below the lowest normal score.
 UNKNOWN_PENALTY = 10.0
@@ -111,7 +111,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
     _, encoder = _model(path)
     for batch in batches:
         data, at = text.column(batch.column(1))
-        for i, j in text.slices(at):
+        for i, j in text.slices(at, PASS_BYTES):
             part, starts, ends, first = space_chunks(data[at[i] : at[j]], at[i : j + 1] - at[i])
             ids, total = encoder(part, starts, ends)
             lists = pa.ListArray.from_arrays(pa.array(total[first].astype(np.int32)), pa.array(ids))

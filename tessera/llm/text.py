@@ -6,7 +6,9 @@ Hashes are 64-bit: a polynomial over the bytes of the span, its length, and a fi
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +47,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@cache
+def _libc():  # noqa: ANN202
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library: its allocator keeps what it keeps
+        return None
+
+
+def trim() -> None:
+    """Give memory that was freed since the last batch back to the system: workers live through many stages beside the heap."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
 def column(values: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column and the n + 1 offsets of its texts in them; null becomes empty."""
+    """The bytes of a string column and the n + 1 offsets of its texts in them; null becomes empty. Freed memory is trimmed first."""
+    if len(values) >= 1000:
+        trim()
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
     values = pc.fill_null(values.cast(pa.large_string()), "")
