@@ -12,10 +12,13 @@ Buckets are never expanded into all their pairs:
 1. in every bucket, each member meets only the bucket's hub (the member whose keys are the most shared, which in a group
    of edited copies is the original); confirmed links are merged to components;
 2. only members of different components still have to meet, where the parity maps of their sets, which bound their overlap from
-   above, don't rule a link out. Small buckets pair them. The members of larger mixed buckets
-   are joined by their rarest shingles instead (an exact prefix filter): two sets with that much in common share one of
-   the rarest (1 - threshold) of either's shingles, counted among these members, so what makes such a bucket large - a
-   passage that all of them have - is the last thing looked at.
+   above, don't rule a link out. Small buckets pair them. The members of larger mixed buckets are told apart by what their
+   sets don't share with their hub's: the symmetric difference, in which a passage that all of them have, which makes such a
+   bucket large, doesn't occur (the heaviest hub of a component stands for all of its hubs). A member that the threshold links
+   to the hub itself is linked by it. Of any other two linked ones at least one is not linked to the hub, and then their
+   differences have so many entries in common that they share one of the rarest entries of either (an exact prefix filter). Two of
+   which neither is linked to the hub have the more in common, so fewer entries do for them. An entry's members of one component
+   don't meet each other.
 
 A content with many copies, a hub with many near copies and a shingle that many members have are dealt over many tasks.
 """
@@ -177,54 +180,156 @@ def confirm(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, perc
 FREQUENT_SHINGLES = 50_000
 
 
-def _counted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _differing(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows come with a member's text and its hub's; rows of one hub come in a row, and its set is made once."""
+    hub, base, salt = None, np.zeros(0, _U), _U(0)
     for batch in batches:
-        sets = list(text.shingle_sets(*text.column(batch.column(1)), k))
-        shingle, n = np.unique(np.concatenate([np.zeros(0, _U), *sets]), return_counts=True)
+        n, near, maps, differ = [], [], [], []
+        hubs = batch.column(5)
+        for i, own in enumerate(text.shingle_sets(*text.column(batch.column(4)), k)):
+            if hub is None or not hubs[i].equals(hub):
+                hub = hubs[i]
+                (base,) = text.shingle_sets(*text.column(hubs.slice(i, 1)), k)
+                salt = text.mix(base).sum(dtype=_U)
+            apart = np.setxor1d(own, base, assume_unique=True)
+            n.append((len(own), len(base)))
+            near.append(len(own) + len(base) > len(apart) and len(apart) * (100 + percent) <= (len(own) + len(base)) * (100 - percent))
+            maps.append(parity_map(own))
+            differ.append(np.sort(text.mix(apart ^ salt)).view(np.int64))
+        size, base_size = (pa.array([x[j] for x in n], pa.int64()) for j in (0, 1))
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:4], size, base_size, pa.array(near, pa.bool_()), pa.array(maps, pa.list_(pa.int64())), pa.array(differ, pa.list_(pa.int64()))],
+            ["rep", "hub", "component", "of_hub", "n", "n_hub", "near", "parity", "differ"],
+        )
+
+
+def differences(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """For ``members(rep, hub, component, of_hub)`` the sizes of both sets, whether the threshold links them, the member's parity map, and as
+    ``differ`` the shingles that only one of the two sets has, hashed with all of the hub's.
+
+    Without a hub, that is the whole set. All texts of a repeated id are set against all of its hub's.
+    """
+    ids = members.select(F.explode(F.array("rep", "hub")).alias("doc_id")).distinct()
+    texts = materialize(texts_of(ids, docs), "texts")
+    side = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"text_{name}"))
+    own = materialize(skew_join(members, side("rep"), ["rep"]), "members")
+    both = skew_join(own, side("hub"), ["hub"], "left").select("rep", "hub", "component", "of_hub", "text_rep", "text_hub")
+    told = "rep long, hub long, component long, of_hub long, n long, n_hub long, near boolean, parity array<bigint>, differ array<bigint>"
+    found = materialize(both.mapInArrow(lambda b: _differing(b, k, percent), told), "differences")
+    release(own, texts)
+    return found
+
+
+def _entries(column: pa.Array) -> Iterator[np.ndarray]:
+    at, values = np.asarray(column.offsets), np.asarray(column.values).view(_U)
+    return (values[i:j] for i, j in zip(at[:-1], at[1:], strict=True))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        shingle, n = np.unique(np.concatenate([np.zeros(0, _U), *_entries(batch.column(0))]), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(n)], ["shingle", "n"])
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, frequent: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+def least_common(d: int, n: int, n_hub: int, alone: bool, percent: int) -> int:
+    """How many entries the difference of a set, of size n and with d entries, has in common with that of any set linked to it.
+
+    Two differences of d and e entries have (d + e - x) / 2 in common, where x, what the two sets differ by, is at most c (n + m) for
+    c = (100 - percent) / (100 + percent). Of all sizes m that the threshold allows, the one next to the hub's asks for the least,
+    since e >= abs(m - n_hub). ``alone`` counts only sets that the threshold doesn't link to the hub: e > c (m + n_hub).
+    """
+    plus, minus = 100 + percent, 100 - percent
+    m = min(max(n_hub, -(-n * percent // 100)), 100 * n // max(percent, 1))
+    least = -(-((d + abs(m - n_hub)) * plus - minus * (n + m)) // (2 * plus))
+    return max(1, least, (d * plus - minus * (n - n_hub)) // (2 * plus) + 1 if alone else 1)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], percent: int, frequent: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        rep, shingle, size, place = [], [], [], []
-        for d, own in zip(ids, text.shingle_sets(*text.column(batch.column(1)), k), strict=True):
+        entry, size, place, row, outer, side = [], [], [], [], [], []
+        known = zip(*(batch.column(name).to_pylist() for name in ("n", "n_hub", "near", "component")), strict=True)
+        for i, (own, (n, n_hub, near, component)) in enumerate(zip(_entries(batch.column("differ")), known, strict=True)):
             at = np.minimum(np.searchsorted(frequent, own), max(len(frequent) - 1, 0))
             order = np.where(frequent[at] == own, rank[at], -1) if len(frequent) else np.full(len(own), -1)
-            first = own[np.lexsort((own, order))][: len(own) - -(-len(own) * percent // 100) + 1]
-            rep.append(np.full(len(first), d))
-            shingle.append(first.view(np.int64))
-            size.append(np.full(len(first), len(own)))
-            place.append(np.arange(1, len(first) + 1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (rep, shingle, size, place)], ["rep", "shingle", "size", "place"])
+            own = own[np.lexsort((own, order))].view(np.int64)
+            inner, whole = (max(0, len(own) - least_common(len(own), n, n_hub, alone, percent) + 1) for alone in (True, False))
+            for out, start, stop in ((False, 0, inner), (True, 0, inner) if near else (True, inner, whole)):
+                stop = max(start, stop)
+                entry.append(own[start:stop])
+                place.append(np.arange(start + 1, stop + 1))
+                for column, value in ((size, len(own)), (row, i), (outer, out), (side, int(near) if out else component or 0)):
+                    column.append(np.full(stop - start, value, np.int64))
+        entry, size, place, row, outer, side = (pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (entry, size, place, row, outer, side))
+        told = [batch.column(name).take(row) for name in ("rep", "component", "n", "parity")]
+        yield pa.RecordBatch.from_arrays(
+            [*told, entry, size, place, outer.cast(pa.bool_()), side], ["rep", "component", "n", "parity", "shingle", "size", "place", "outer", "side"]
+        )
 
 
-def rarest(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``members(rep, n, ...)``, each with the rarest of its shingles: as many as a set with the threshold's overlap can't miss.
+def rarest_of(differ: DataFrame, percent: int) -> DataFrame:
+    """The rarest entries of each of the ``differences``: as many as one with a set that the threshold links it to can't miss.
 
-    ``place`` orders a set's shingles by the number of members that have them, then by hash: one order for all sets, as
-    a prefix filter needs. Numbers are told for shingles that at least 1 / ``FREQUENT_SHINGLES`` of all members' shingles
+    ``place`` orders a difference's entries, ``size`` in number, by how many members have them, then by hash: one order for
+    all, as a prefix filter needs. Rows meet those with the same ``shingle`` and ``outer`` and another ``side``, which is their component.
+    What a member needs only beside members that are linked to the hub is in ``outer`` rows, whose side tells these from the others. Numbers are told for entries that at least 1 / ``FREQUENT_SHINGLES`` of all members' entries
     are, of which there can't be more than that.
     """
-    texts = materialize(texts_of(members.select(F.col("rep").alias("doc_id")).distinct(), docs), "texts")
-    total = members.agg(F.sum("n")).first()[0] or 0
-    counted = texts.mapInArrow(lambda b: _counted(b, k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    total = differ.agg(F.sum(F.size("differ"))).first()[0] or 0
+    counted = differ.select("differ").mapInArrow(_counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     common = counted.where(F.col("n") >= max(2, -(-total // FREQUENT_SHINGLES))).toPandas().sort_values(["n", "shingle"])
     rank = np.arange(len(common))
     by_hash = np.argsort(common["shingle"].to_numpy(np.int64).view(_U))
     frequent, rank = common["shingle"].to_numpy(np.int64).view(_U)[by_hash], rank[by_hash]
-    prefix = texts.mapInArrow(lambda b: _prefixes(b, k, percent, frequent, rank), "rep long, shingle long, size long, place long")
-    return materialize(prefix.join(members, "rep"), "rarest")
+    told = "rep long, component long, n long, parity array<bigint>, shingle long, size long, place long, outer boolean, side long"
+    return materialize(differ.mapInArrow(lambda b: _prefixes(b, percent, frequent, rank), told), "rarest")
 
 
-def hub_pairs(buckets: DataFrame) -> DataFrame:
-    """Every bucket member with its bucket's hub: the member whose buckets hold the most rows, then the smallest id."""
+def rarest(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``rarest_of`` the whole sets of ``members(rep)``."""
+    none = F.lit(None).cast("long")
+    return rarest_of(differences(members.select("rep", none.alias("hub"), none.alias("component"), none.alias("of_hub")), docs, k, percent), percent)
+
+
+def rarest_pairs(rare: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: rows of ``rarest`` with an entry in common and different components, as far as sizes, places and parity maps allow a link."""
+    entry = ["shingle", "outer"]
+    counts = rare.groupBy(*entry, "side").agg(F.count("*").alias("n"))
+    most = counts.groupBy(*entry).agg(F.max(F.struct("n", "side")).alias("top"), F.count("*").alias("sides"), F.sum("n").alias("n"))
+    most = materialize(most.where("sides > 1").select(*entry, F.col("top.side").alias("most"), "n"), "most")
+    mixed = materialize(skew_join(rare, most.drop("n"), entry, counts=most), "shared")
+    release(most)
+    told = F.struct("rep", "n", "parity", "component", "size", "place", "side")
+    fewer, all_of = mixed.where("side <> most").select(*entry, told.alias("x")), mixed.select(*entry, "most", told.alias("y"))
+    # A shared entry counts only if what follows it can still make up what the two differences must have in common.
+    rest = 1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    enough = (F.col("x.size") + F.col("y.size") - 2 * rest) * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+    once = (F.col("y.side") == F.col("most")) | (F.col("x.rep") < F.col("y.rep"))
+    apart = (F.col("x.side") != F.col("y.side")) & (F.col("x.component") != F.col("y.component"))
+    met = skew_join(fewer, all_of, entry).where(apart & once & enough & _near(percent, "x", "y"))
+    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+
+
+def hubs(buckets: DataFrame) -> DataFrame:
+    """``key, hub, weight``: of each bucket's members the one whose buckets hold the most rows, ``weight``, then the smallest id."""
     weight = buckets.groupBy("rep").agg(F.sum("members").alias("weight"))
     weighted = buckets.select("key", "rep").join(weight, "rep")
     hub = weighted.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("top"))
-    hub = hub.select("key", (-F.col("top.minus")).alias("hub"))
+    return hub.select("key", (-F.col("top.minus")).alias("hub"), "top.weight")
+
+
+def shared_hubs(own: DataFrame, found: DataFrame) -> DataFrame:
+    """``key, hub, of_hub`` for written ``hubs``: of all hubs in one component, ``of_hub``, the heaviest stands for each."""
+    each = own.select("hub", "weight").distinct().join(found.withColumnRenamed("node", "hub"), "hub", "left")
+    each = materialize(each.select("hub", "weight", F.coalesce("component", "hub").alias("of_hub")), "hubs")
+    top = each.groupBy("of_hub").agg(F.max(F.struct("weight", (-F.col("hub")).alias("minus"))).alias("top"))
+    each = materialize(skew_join(each, top, ["of_hub"]).select("hub", "of_hub", (-F.col("top.minus")).alias("first")), "hubs")
+    return skew_join(own, each, ["hub"]).select("key", F.col("first").alias("hub"), "of_hub")
+
+
+def hub_pairs(buckets: DataFrame) -> DataFrame:
+    """Every bucket member with its bucket's hub."""
     # A pair's hub is the same one in all buckets that the two share: the greater one by weight and id.
-    return buckets.select("key", "rep").join(hub, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    return buckets.select("key", "rep").join(hubs(buckets), "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -261,18 +366,16 @@ def near_duplicates(
     mixed = materialize(mixed.join(split, "key"), "mixed")
     sets = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "parity")
     small = mixed.where(F.col("members") <= pair_up_to).select("key", "rep", "component").join(sets, "rep")
-    large = mixed.where(F.col("members") > pair_up_to).select("rep", "component").distinct().join(sets, "rep")
+    large = mixed.where(F.col("members") > pair_up_to).select("key", "rep", "component")
     apart = F.col("x.component") != F.col("y.component")
     met = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & apart & _near(percent, "x", "y"))
-    rare = rarest(materialize(large, "large"), docs, k, percent)
-    # A shared shingle counts only if what follows it can still make up the overlap that the threshold asks for.
-    rest = 1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-    enough = rest * (100 + percent) >= (F.col("x.size") + F.col("y.size")) * percent
-    told = ["rep", "n", "parity", "component", "size", "place"]
-    one, other = (rare.select("shingle", F.struct(*told).alias(name)) for name in ("x", "y"))
-    also = skew_join(one, other, ["shingle"]).where((F.col("x.rep") < F.col("y.rep")) & apart & enough & _near(percent, "x", "y"))
-    pairs = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).unionByName(also.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
-    more = confirm(pairs.distinct(), reps, docs, k, percent, r, symbols)
+    own = materialize(hubs(buckets).join(large.select("key").distinct(), "key"), "hubs")
+    large = materialize(skew_join(large, shared_hubs(own, found), ["key"]).select("rep", "hub", "component", "of_hub").distinct(), "large")
+    differ = differences(large, docs, k, percent)
+    # The sets of these have been compared; signatures had told most of them before.
+    to_hub = differ.where("near AND component <> of_hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    pairs = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).unionByName(rarest_pairs(rarest_of(differ, percent), percent))
+    more = materialize(confirm(pairs.distinct(), reps, docs, k, percent, r, symbols).unionByName(to_hub), "more")
     if not more.isEmpty():
         found = components(links.unionByName(more))
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+from tessera.llm import near_dedup
 from tessera.llm.components import components
 from tessera.llm.near_dedup import near_duplicates, rarest
 from tessera.llm.skew import heavy_keys, skew_join
@@ -121,3 +122,41 @@ def test_links_at_the_threshold_are_found(spark):
             pair += 1
     got = rows(near_duplicates(spark.createDataFrame(docs, DOC)))
     assert sum(not r[3] for r in got) >= pair - 1 and len(got) == 2 * pair
+
+
+def test_members_of_a_large_group_do_not_all_meet(spark, monkeypatch):
+    """Near copies of a text and as many looser ones, all in the same buckets: the join by rare shingles matches fewer rows than there are pairs."""
+    rnd, met = random.Random(11), []
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+    docs = []
+    for changes in [1, 2, 3, 6, 7, 8] * 40:
+        copy = list(base)
+        for at in rnd.sample(range(120), changes):
+            copy[at] = f"w{rnd.randrange(10**6)}"
+        docs.append((len(docs), " ".join(copy)))
+
+    def watched(left, right, on, *how, **more):
+        if on[0] == "shingle" and "y" in right.columns:
+            met.append(left.select(on).join(right.select(on), on).count())
+        return skew_join(left, right, on, *how, **more)
+
+    monkeypatch.setattr(near_dedup, "skew_join", watched)
+    assert rows(near_duplicates(spark.createDataFrame(docs, DOC), pair_up_to=8)) == brute(docs)
+    assert len(met) == 1 and met[0] < len(docs) * (len(docs) - 1) // 2
+
+
+def test_differences_of_linked_sets_have_enough_in_common():
+    rnd, some = random.Random(12), 0
+    for percent in (50, 80, 85):
+        for _ in range(300):
+            hub = set(range(rnd.randrange(0, 40)))
+            one = set(rnd.sample(range(60), rnd.randrange(1, 50))) if rnd.random() < 0.3 else hub ^ set(rnd.sample(range(60), rnd.randrange(20)))
+            other = one ^ set(rnd.sample(range(60), rnd.randrange(12)))
+            linked = lambda a, b: bool(a & b) and 100 * len(a & b) >= percent * len(a | b)
+            near = [linked(x, hub) for x in (one, other)]
+            if not linked(one, other) or all(near):
+                continue
+            some += 1
+            for x, alone in ((one, not near[1]), (other, not near[0])):
+                assert near_dedup.least_common(len(x ^ hub), len(x), len(hub), alone, percent) <= len((one ^ hub) & (other ^ hub))
+    assert some > 100
